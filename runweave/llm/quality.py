@@ -85,13 +85,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit_quality(rows: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Fit on at most ``fit_rows`` rows of each label (the first by a hash of ``key``)."""
-    usable = rows.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key).cast("string"), F.lit("fit")).alias("at"))
-    texts, totals = {}, {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit_quality(docs: DataFrame, labels: DataFrame, hold: int | None = 1, k: int = 3, fit_rows: int = FIT_ROWS) -> QualityModel:
+    """Fit on ``labels`` (doc_id, quality) outside fold ``hold`` of ``k`` (None: on all).
+
+    At most ``fit_rows`` ids of each label are chosen, the first by a hash of the id, before any text
+    is read; only their texts are fetched. The prior comes from all labels.
+    """
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    marks = marks.where(fold("doc_id", k) != hold) if hold is not None else marks
+    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    totals = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.col("doc_id")]
+    texts: dict[int, list[str]] = {}
     for value in (0, 1):
-        texts[value] = [r["text"] for r in usable.where(F.col("label") == value).orderBy("at", "text").limit(fit_rows).collect()]
-        texts[value] = list(dict.fromkeys(texts[value]))
+        chosen = marks.where(F.col("label") == value).orderBy(*order).limit(fit_rows).select("doc_id")
+        own = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # fit_rows ids at most
+        texts[value] = list(dict.fromkeys(r["text"] for r in own.orderBy(*order, "text").limit(fit_rows).collect()))
     if not texts[0] or not texts[1]:
         n, ones = sum(totals.values()), totals.get(1, 0)
         return QualityModel(b"", b"", 0.0, float(np.log((ones + 0.5) / (n - ones + 0.5))))
@@ -121,11 +130,3 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
 
     return base.mapInArrow(scored, schema)
 
-
-def labelled(docs: DataFrame, labels: DataFrame, hold: int | None = 1, k: int = 3) -> DataFrame:
-    """Rows with a quality label outside the held-out fold, as ``doc_id, text, label``."""
-    marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    rows = docs.select("doc_id", "text")
-    if hold is not None:
-        rows = rows.where(fold("doc_id", k) != hold)
-    return rows.join(marks, "doc_id")

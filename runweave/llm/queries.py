@@ -34,7 +34,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit_quality(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 

@@ -32,7 +32,7 @@ def test_every_row_has_its_fold_and_a_probability(spark, scored):
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 3.0), (None, "", 1.0), (3, "the thing " * 9, 1.0), (3, "the thing " * 9, 1.0), (4, "zz! " * 60000, 0.0)], "doc_id long, text string, Score double")
     labels = spark.createDataFrame([(3, 1), (4, 0), (9, None)], "doc_id long, quality int")
-    model = quality.fit_quality(quality.labelled(docs, labels, hold=None))
+    model = quality.fit_quality(docs, labels, hold=None)
     rows = quality.score_quality(docs, model).collect()
     assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
@@ -40,8 +40,8 @@ def test_odd_rows(spark):
 
 
 def test_without_labels_the_prior_is_the_score(spark):
-    none = spark.createDataFrame([], "doc_id long, text string, label int")
-    model = quality.fit_quality(none)
+    none = spark.createDataFrame([], "doc_id long, text string, quality int")
+    model = quality.fit_quality(none, none)
     assert model.scores(["a", None]).tolist() == [0.5, 0.5]
 
 
