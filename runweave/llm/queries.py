@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, packing, pii, quality, simhash, topk
+from . import langid, lm, packing, pii, quality, simhash, topk, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op3_pii_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digest(pii.find_pii(docs, pii.fit_pii(docs)))
@@ -52,5 +56,5 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_pii_candidate_boosting, op4_lm_scoring, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_templates, op3_pii_candidate_boosting, op4_lm_scoring, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k)}
+ORACLES: dict[str, str] = {"op2_url_templates": urls.oracle()}
