@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, packing, pii, quality, simhash, topk, urls
+from . import langid, linededup, lm, packing, pii, quality, simhash, topk, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_long", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -56,5 +61,5 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_templates, op3_pii_candidate_boosting, op4_lm_scoring, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k)}
-ORACLES: dict[str, str] = {"op2_url_templates": urls.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_templates, op3_pii_candidate_boosting, op4_lm_scoring, op5_line_dedup, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k)}
+ORACLES: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_line_dedup": linededup.oracle()}
