@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, lm, packing, pii, quality, simhash, topk, urls
+from . import decontam, langid, linededup, lm, packing, pii, quality, simhash, topk, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,5 +61,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_templates, op3_pii_candidate_boosting, op4_lm_scoring, op5_line_dedup, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k)}
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("leaked"), "item_ids")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_templates, op3_pii_candidate_boosting, op4_lm_scoring, op5_line_dedup, op6_quality_classifier, op7_language_crf, op8_simhash_near_dedup, op9_exact_top_k, op10_latent_decontamination)}
 ORACLES: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_line_dedup": linededup.oracle()}
