@@ -2,10 +2,10 @@
 
 Benchmark texts are cut into passages of at most ``PASSAGE`` words; their TF-IDF rows (document
 frequencies from the whole corpus) get a randomised SVD, whose products with the matrix run as
-Spark aggregates. Documents are read as overlapping windows of two widths. A window that holds
-too little of the passages' term weight to reproduce any of them is passed over (a bound, so nothing is
-lost); the others are projected, and passages of high cosine are checked in the
-words around: a longest common subsequence of at least ``SHARE`` of the passage within a span not
+Spark aggregates. A window of a document is looked at if it holds ``ANCHORS`` of a passage's rarest
+words: as only a fifth of a passage may be missing, every copy has that many of its anchors (a bound, so
+nothing is lost by it). Such windows are projected, and those of high cosine to the passage are checked word
+by word: a longest common subsequence of at least ``SHARE`` of the passage within a span not
 much longer than it, and most of the answer (a text's last words, or what follows its last
 question mark, and its rarest words). A text is leaked into a document if one of its passages is.
 
@@ -27,24 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, tokens
+from .common import cut, free_name
 
-PASSAGE, LEAST, BLOCK = 64, 5, 4096
-#: (width, step) of the windows; a passage of up to width - step words lies whole in one.
-WINDOWS = ((32, 8), (80, 16))
+PASSAGE, LEAST, BLOCK = 64, 5, 1024
+#: Anchors of one passage that a window must hold.
+ANCHORS = 3
 #: Dimensions kept, extra ones drawn, and power iterations of the SVD.
 RANK, OVERSAMPLE, POWER = 128, 16, 2
 #: Least cosine of a candidate, share of a passage's words in order, and of its answer's words.
-COSINE, SHARE, ANSWER = 0.4, 0.8, 0.6
+COSINE, SHARE, ANSWER = 0.25, 0.8, 0.6
 #: Words of documents handled in one array.
 CHUNK = 1 << 18
 
-_STRIP = b".,;:!?\"'()[]{}*&%$#|<>-_=+~`/\\"
+#: A-Z to lower case, ASCII signs and control characters to blanks, all other bytes as they are.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words without signs around them; words of signs alone are left out."""
-    return [w for w in (t.strip(_STRIP) for t in tokens(text)) if w]
+    """Lower-cased runs of ASCII letters, digits and other characters between blanks and signs."""
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
 @dataclass
@@ -70,22 +71,9 @@ def passages(items: list[tuple[int, str | None]]) -> list[Passage]:
     return out
 
 
-def _ids(raw: list[bytes], vocabulary: dict[bytes, int], memory: dict[bytes, int]) -> list[int]:
-    """Term numbers of raw tokens (0: none); ``memory`` holds those met in a form with signs around."""
-    out = []
-    for w in raw:
-        i = vocabulary.get(w)
-        if i is None:
-            i = memory.get(w)
-            if i is None:
-                s = w.strip(_STRIP)
-                i = vocabulary.get(s, 0) if s else -1
-                if len(memory) > 200_000:
-                    memory.clear()
-                memory[w] = i
-        if i >= 0:
-            out.append(i)
-    return out
+def span_of(words: int) -> int:
+    """Words among which a passage of ``words`` may be spread."""
+    return words + words // 4 + 2
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -93,13 +81,16 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, memory = np.zeros(len(shared.value) + 1, np.int64), 0, {}
+        terms, met, n = frozenset(shared.value), Counter(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 texts = batch.column(0).slice(i, 256).to_pylist()
                 n += len(texts)
                 for t in texts:
-                    own[list(set(_ids(tokens(t), shared.value, memory)))] += 1
+                    met.update(terms.intersection(words_of(t)))
+        own = np.zeros(len(shared.value) + 1, np.int64)
+        for w, k in met.items():
+            own[shared.value[w]] = k
         own[0] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own)], names=["term", "n"])
 
@@ -167,60 +158,70 @@ class Index:
     latent: np.ndarray
     found: np.ndarray
     passages: list[tuple[int, list[int], frozenset[int]]]
-    least_mass: float
+
+    def __post_init__(self) -> None:
+        self.terms = [frozenset(own) for _, own, _ in self.passages]
+        self.need = np.array([-(-int(round(SHARE * len(own) * 1000)) // 1000) for _, own, _ in self.passages])
+        self.span = np.array([span_of(len(own)) for _, own, _ in self.passages])
+        # A passage may lack len - need of its words, so of any len - need + k of them k are there. Its rarest ones are its anchors.
+        self.together = np.minimum(ANCHORS, self.need)
+        rare = [sorted(own, key=lambda t: (-self.idf[t], t))[: len(own) - n + k] for (_, own, _), n, k in zip(self.passages, self.need.tolist(), self.together.tolist(), strict=True)]
+        pairs = sorted({(t, i) for i, own in enumerate(rare) for t in own})
+        self.anchor_of = np.array([i for _, i in pairs])
+        self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.idf) + 1))
+
+    def ids(self, text: str | None) -> list[int]:
+        """Term numbers of a text's words (0: none)."""
+        get = self.vocabulary.get
+        return [get(w, 0) for w in words_of(text)]
 
     def accepts(self, which: int, around: list[int]) -> bool:
         """Whether the words ``around`` hold the passage, nearly in order and nearly without gaps."""
         _, own, answer = self.passages[which]
-        known = [(i, w) for i, w in enumerate(around) if w in (places := frozenset(own))]
-        need = SHARE * len(own)
-        if len(known) < need:
-            return False
-        span = len(own) + len(own) // 4 + 2
+        terms, need, span = self.terms[which], self.need[which], self.span[which]
+        known = [(i, w) for i, w in enumerate(around) if w in terms]
         begin = 0
         for end in range(len(known)):  # known words within one span, its last at ``end``
             while known[end][0] - known[begin][0] >= span:
                 begin += 1
             if end - begin + 1 >= need and (end + 1 == len(known) or known[end + 1][0] - known[begin][0] >= span):
                 part = [w for _, w in known[begin : end + 1]]
-                if common_subsequence(own, part) >= need and len(answer & set(part)) >= ANSWER * len(answer):
+                if len(answer & set(part)) >= ANSWER * len(answer) and common_subsequence(own, part) >= need:
                     return True
         return False
 
     def search(self, texts: list[list[int]], cosine: float = COSINE) -> list[set[int]]:
         """The leaked items of each text, given as term numbers."""
         out: list[set[int]] = [set() for _ in texts]
-        gap = max(w for w, _ in WINDOWS)
+        gap = int(self.span.max(initial=1))
         flat = np.zeros(sum(map(len, texts)) + gap * (len(texts) + 1), np.int64)
-        owner, begins, at = np.full(len(flat), -1), [], gap
+        owner, at = np.full(len(flat), -1), gap
         for i, t in enumerate(texts):
             flat[at : at + len(t)], owner[at : at + len(t)] = t, i
-            begins.append(at)
             at += len(t) + gap
-        mass = np.concatenate([[0], np.cumsum(self.idf[flat])])
-        hits: set[tuple[int, int, int]] = set()
-        for width, step in WINDOWS:
-            start = np.arange(0, len(flat) - width + 1, step)
-            start = start[mass[start + width] - mass[start] >= self.least_mass]
-            for i in range(0, len(start), 4096):
-                own = start[i : i + 4096]
-                ids = flat[own[:, None] + np.arange(width)]
-                r, c = np.nonzero(ids)
-                vector = np.zeros((len(own), self.latent.shape[1]), np.float32)
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
-                if len(r):
-                    vector[r[first]] = np.add.reduceat(self.latent[ids[r, c]], first, axis=0)
-                norm = np.linalg.norm(vector, axis=1)
-                like = vector @ self.found.T >= cosine * norm[:, None]
-                like[norm == 0] = False
-                for a, b in zip(*np.nonzero(like), strict=True):
-                    hits.add((int(b), int(own[a]), int(own[a]) + width))
-        for which, low, high in sorted(hits):
-            reach = len(self.passages[which][1])
-            low, high = max(0, low - reach), min(len(flat), high + reach)
-            for i in {int(x) for x in owner[low:high]} - {-1}:
-                if self.passages[which][0] not in out[i] and self.accepts(which, flat[max(low, begins[i]) : min(high, begins[i] + len(texts[i]))].tolist()):
-                    out[i].add(self.passages[which][0])
+        count = self.first[flat + 1] - self.first[flat]
+        place = np.flatnonzero(count)
+        place, count = np.repeat(place, count[place]), count[place]
+        which = self.anchor_of[np.repeat(self.first[flat[np.flatnonzero(self.first[flat + 1] > self.first[flat])]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        order = np.lexsort((place, which))
+        place, which = place[order], which[order]
+        last = np.arange(len(place)) + self.together[which] - 1
+        close = np.flatnonzero(last < len(place))
+        close = close[(which[last[close]] == which[close]) & (place[last[close]] - place[close] < self.span[which[close]])]
+        for i in range(0, len(close), 2048):
+            p, at = which[close[i : i + 2048]], place[close[i : i + 2048]]
+            reach = self.span[p]
+            steps = np.arange(2 * int(reach.max()))
+            where = (at - reach)[:, None] + steps
+            ids = np.where(steps < 2 * reach[:, None], flat[np.clip(where, 0, len(flat) - 1)], 0)
+            ids[owner[np.clip(where, 0, len(flat) - 1)] != owner[at][:, None]] = 0
+            r, c = np.nonzero(ids)
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            vector = np.add.reduceat(self.latent[ids[r, c]], first, axis=0)  # each row has its anchors
+            like = (vector * self.found[p]).sum(1) >= cosine * np.linalg.norm(vector, axis=1)
+            for w, of, row in zip(p[like].tolist(), owner[at[like]].tolist(), ids[like], strict=True):
+                if self.passages[w][0] not in out[of] and self.accepts(w, row.tolist()):
+                    out[of].add(self.passages[w][0])
         return out
 
 
@@ -230,23 +231,20 @@ def build_index(docs: DataFrame, block: list[Passage]) -> Index:
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1.0)) + 0.05
     idf[0] = 0
-    rows, own, least = [], [], np.inf
+    rows, own = [], []
     for p in block:
         ids = [vocabulary[w] for w in p.words]
         counts = Counter(ids)
         rows.append((list(counts), [float(c * idf[t]) for t, c in counts.items()]))
         rare = sorted(counts, key=lambda t: (-idf[t], t))[:3]
         own.append((p.item, ids, frozenset(vocabulary[w] for w in p.answer) | frozenset(rare)))
-        must = -(-int(SHARE * len(ids) * 1000) // 1000)
-        least = min(least, float(np.sort(idf[ids])[: max(1, must)].sum()))
     matrix = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
     basis = randomised_svd(cut(matrix, "passages"), len(idf), min(RANK, len(block)))
     found = np.zeros((len(rows), basis.shape[1]))
     for i, (terms, weights) in enumerate(rows):
         found[i] = np.array(weights) @ basis[terms]
     found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
-    # the widest windows may hold a passage's first or last words only; half the mass is asked for
-    return Index(vocabulary, idf, (idf[:, None] * basis).astype(np.float32), found.astype(np.float32), own, least / 2)
+    return Index(vocabulary, idf, (idf[:, None] * basis).astype(np.float32), found.astype(np.float32), own)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -260,13 +258,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
         shared = spark.sparkContext.broadcast(build_index(docs, block))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, memory = shared.value, {}
+            index = shared.value
             for batch in batches:
                 held = batch.column(len(names)).to_pylist()
                 begin, texts, size = 0, [], 0
                 for i, raw in enumerate(batch.column(at)):
-                    texts.append(_ids(tokens(raw.as_py()), index.vocabulary, memory))
-                    size += len(texts[-1]) + 80
+                    texts.append(index.ids(raw.as_py()))
+                    size += len(texts[-1]) + 84
                     if size >= CHUNK or i == batch.num_rows - 1:
                         part = batch.slice(begin, i + 1 - begin)
                         both = [sorted(x | set(h or ())) for x, h in zip(index.search(texts, cosine), held[begin : i + 1], strict=True)]
