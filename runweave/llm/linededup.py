@@ -8,9 +8,9 @@ shift that the edits allow. Keys of (length, segment, substring) are indexed and
 shorter line's length in the key; candidates are verified by a banded bit-parallel edit distance.
 
 A substring that many lines share is not paired out. All its lines are first verified against
-its earliest one, which settles families of near copies in one comparison each. If too many stay open,
-these lines are dealt anew with one segment more, of which two (three, ...) must match; the same
-edits leave that many untouched, so nothing is lost. At the last level what is open is compared in full.
+its earliest one, which settles families of near copies in one comparison each. Lines that stay open meet only those
+whose distances to three pivot lines differ by no more than the threshold, which the triangle inequality asks of near
+lines; so nothing is lost.
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
 (their lines count once); a null id comes first; a document all of whose long lines went is dropped by
@@ -20,7 +20,7 @@ are kept as they are. Everything is DataFrame operations.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,11 @@ from .common import cut, free_name, whole
 
 THRESHOLD = 2
 MIN_CHARS = 32
-#: Candidate pairs under one key from which its lines are settled against the earliest, and dealt anew. Levels of dealing.
-CROWD, LEVELS = 400, 3
+#: Candidate pairs under one key from which on its lines are not paired out. Cut-off of distances to pivots.
+CROWD, FAR = 400, 64
 LINE = ["d", "t", "p"]
+#: Shared keys (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def _key() -> list[Column]:
@@ -39,72 +41,53 @@ def _key() -> list[Column]:
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``d, t`` (the document), ``p`` (place), ``line`` of every long line."""
+    """``d, t`` (the document), ``p`` (place), ``line`` and its length ``n`` of every long line."""
     each = docs.where(F.length("text") >= min_chars).select(*_key(), F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return each.where(F.length("line") >= min_chars)
+    return each.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
 
 
 def _hashed(each: DataFrame) -> DataFrame:
     return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def _shifts(delta: int, chosen: tuple[int, ...], threshold: int) -> list[tuple[int, ...]]:
-    """Shifts of the chosen segments that ``threshold`` edits allow, when the probing line is ``delta`` longer."""
-    out: list[tuple[int, ...]] = []
-
-    def grow(done: tuple[int, ...], spent: int) -> None:
-        if len(done) == len(chosen):
-            if spent + abs(delta - (done[-1] if done else 0)) <= threshold:
-                out.append(done)
-            return
-        last = done[-1] if done else 0
-        for s in range(-threshold, threshold + 1):
-            if spent + abs(s - last) <= threshold:
-                grow((*done, s), spent + abs(s - last))
-
-    grow((), 0)
-    if len(chosen) == 1:  # edits before and after one untouched segment need not outnumber the segments there
-        out = [s for s in out if abs(s[0]) <= chosen[0] and abs(delta - s[0]) <= threshold - chosen[0]]
-    return out
-
-
-def keys(each: DataFrame, level: int, threshold: int) -> DataFrame:
-    """``key, probe, h1, h2``: what each line is indexed under (probe 0) and asks for (probe 1)."""
-    parts, length = threshold + level, F.length("line")
-    asks = [(delta, chosen, shift) for delta in range(threshold + 1) for chosen in combinations(range(parts), level) for shift in _shifts(delta, chosen, threshold)]
-
-    def begin_size(n: Column, j: Column, s: Column) -> tuple[Column, Column]:
-        """Where segment j of a line of n characters stands, shifted by s: the last segments are one longer if need be."""
-        base, odd = (n / parts).cast("int"), n % parts
-        return base * j + F.greatest(F.lit(0), j - parts + odd) + s, base + F.when(j >= F.lit(parts) - odd, 1).otherwise(0)
-
-    if level == 1:
-        made = []
-        for delta, (j,), (s,) in asks:
-            begin, size = begin_size(length - delta, F.lit(j), F.lit(s))
-            value = F.xxhash64(F.lit(j), length - delta, F.substring("line", begin + 1, size))
-            made.append(F.struct(F.when((begin >= 0) & (begin + size <= length), value).alias("key"), F.lit(int(delta > 0 or s != 0)).alias("probe")))
-        asked = each.select("h1", "h2", F.explode(F.array(*made)).alias("x")).select("x.key", "x.probe", "h1", "h2")
-    else:  # many more combinations: they are rows of a literal table, not of the plan
-        table = F.array(*[F.struct(F.lit(delta).alias("delta"), F.lit(int(delta > 0 or any(shift))).alias("probe"), F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in zip(chosen, shift, strict=True)]).alias("parts")) for delta, chosen, shift in asks])
-        asked = each.select("h1", "h2", "line", F.explode(table).alias("x"))
-        n = length - F.col("x.delta")
-        places = F.transform("x.parts", lambda q: F.struct(*(c.alias(k) for c, k in zip(begin_size(n, q["j"], q["s"]), ("begin", "size"), strict=True))))
-        fits = F.forall(places, lambda q: (q["begin"] >= 0) & (q["begin"] + q["size"] <= length))
-        value = F.xxhash64(n, F.transform("x.parts", lambda q: q["j"]), F.transform(places, lambda q: F.substring(F.col("line"), q["begin"] + 1, q["size"])))
-        asked = asked.select(F.when(fits, value).alias("key"), "x.probe", "h1", "h2")
-    return asked.where("key IS NOT NULL")
-
-
-def _trimmed(a: Column, b: Column) -> tuple[Column, Column]:
-    """``a`` and ``b`` without whole blocks of common beginning."""
-    short = F.least(F.length(a), F.length(b))
-    block = F.greatest(F.lit(16), F.ceil(short / 64).cast("int"))
-    count = (short / block).cast("int")
-    same = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: (i <= count) & (F.substring(a, (i - 1) * block + 1, block) == F.substring(b, (i - 1) * block + 1, block)))
-    first = F.array_position(same, False)
-    cut_at = F.when(first == 0, count).otherwise(first - 1).cast("int") * block
-    return F.substring(a, cut_at + 1, F.length(a)), F.substring(b, cut_at + 1, F.length(b))
+def keys(each: DataFrame, threshold: int) -> DataFrame:
+    """``each`` with ``key, probe``: what its lines are indexed under (probe 0) and ask for (probe 1).
+
+    The combinations of length, segment and shift are rows of a literal table, so that the plan stays
+    small. Edits before and after an untouched segment j need not outnumber the segments there.
+    """
+    parts = threshold + 1
+    asks = [(delta, j, s) for delta in range(parts) for j in range(parts) for s in range(-threshold, parts) if abs(s) <= j and abs(delta - s) <= threshold - j]
+    table = F.array(*[F.struct(F.lit(delta).alias("delta"), F.lit(j).alias("j"), F.lit(s).alias("s"), F.lit(int(delta > 0 or s != 0)).alias("probe")) for delta, j, s in asks])
+    asked = each.withColumn("x", F.explode(table))
+    n = F.col("n") - F.col("x.delta")
+    base, odd = F.floor(n / parts).cast("int"), n % parts  # the last segments are one longer if need be
+    begin = base * F.col("x.j") + F.greatest(F.lit(0), F.col("x.j") - parts + odd) + F.col("x.s")
+    size = base + F.when(F.col("x.j") >= F.lit(parts) - odd, 1).otherwise(0)
+    asked = asked.where((begin >= 0) & (begin + size <= F.col("n")))
+    return asked.select(*each.columns, F.xxhash64(n, "x.j", F.substring("line", begin + 1, size)).alias("key"), F.col("x.probe").alias("probe"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _struct(**columns: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in columns.items()))
+
+
+def _trimmed(pair: Column) -> Column:
+    """The structs' ``a`` and ``b`` without whole blocks of common beginning, 64 blocks at most."""
+    short = F.least(F.length(pair["a"]), F.length(pair["b"]))
+    sized = _let(short, lambda n: _struct(block=F.greatest(F.lit(16), F.ceil(n / 64).cast("int")), n=n))
+
+    def differ(x: Column) -> Column:
+        count = (x["n"] / x["block"]).cast("int")
+        same = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: (i <= count) & (F.substring(pair["a"], (i - 1) * x["block"] + 1, x["block"]) == F.substring(pair["b"], (i - 1) * x["block"] + 1, x["block"])))
+        return _let(F.array_position(same, False), lambda first: F.when(first == 0, count).otherwise(first - 1).cast("int") * x["block"] + 1)
+
+    return _let(_let(sized, differ), lambda at: _struct(a=F.substring(pair["a"], at, F.length(pair["a"])), b=F.substring(pair["b"], at, F.length(pair["b"]))))
 
 
 def _bit_parallel(a: Column, b: Column, threshold: int) -> Column:
@@ -117,47 +100,48 @@ def _bit_parallel(a: Column, b: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     lead = "\x00" * (threshold + 1)
-    x, y = F.split(F.concat(F.lit(lead), a), ""), F.split(F.concat(F.lit(lead), b), "")
-    rows = F.size(x)
 
     def word(value: int) -> Column:
         return F.lit(value).cast("long")
 
-    def matches(c: Column, i: Column) -> Column:
-        own = [F.when(F.get(x, i + (k - threshold)) == c, word(1 << k)).otherwise(word(0)) for k in range(width)]
-        total = own[0]
-        for o in own[1:]:
-            total = total + o
-        return F.struct(total.alias("m"), (i < rows - threshold).alias("down"))
+    def matches(x: Column, rows: Column) -> Callable[[Column, Column], Column]:
+        def one(c: Column, i: Column) -> Column:
+            own = [F.when(F.get(x, i + (k - threshold)) == c, word(1 << k)).otherwise(word(0)) for k in range(width)]
+            return _struct(m=sum(own[1:], own[0]), down=i < rows - threshold)
+
+        return one
 
     def step(acc: Column, s: Column) -> Column:
         vp, vn = acc["vp"], acc["vn"]
         d0 = ((s["m"].bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(s["m"]).bitwiseOR(vn).bitwiseAND(word(mask))
-        flat = F.transform(F.array(d0), lambda d: F.struct(d.alias("d0"), vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(word(mask))).bitwiseAND(word(mask)).alias("hp"), d.bitwiseAND(vp).alias("hn")))
+        flat = _let(d0, lambda d: _struct(d0=d, hp=vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(word(mask))).bitwiseAND(word(mask)), hn=d.bitwiseAND(vp)))
 
         def moved(f: Column) -> Column:
             over = F.shiftrightunsigned(f["d0"], 1)
             along = F.when(f["hp"].bitwiseAND(acc["at"]) != 0, 1).otherwise(0) - F.when(f["hn"].bitwiseAND(acc["at"]) != 0, 1).otherwise(0)
             down = F.when(f["d0"].bitwiseAND(word(top)) == 0, 1).otherwise(0)
-            return F.struct(
-                f["hn"].bitwiseOR(over.bitwiseOR(f["hp"]).bitwiseXOR(word(mask))).bitwiseAND(word(mask)).alias("vp"),
-                over.bitwiseAND(f["hp"]).alias("vn"),
-                (acc["distance"] + F.when(s["down"], down).otherwise(along)).alias("distance"),
-                F.when(s["down"], acc["at"]).otherwise(F.shiftrightunsigned(acc["at"], 1)).alias("at"),
+            return _struct(
+                vp=f["hn"].bitwiseOR(over.bitwiseOR(f["hp"]).bitwiseXOR(word(mask))).bitwiseAND(word(mask)),
+                vn=over.bitwiseAND(f["hp"]),
+                distance=acc["distance"] + F.when(s["down"], down).otherwise(along),
+                at=F.when(s["down"], acc["at"]).otherwise(F.shiftrightunsigned(acc["at"], 1)),
             )
 
-        return F.get(F.transform(flat, moved), F.lit(0))
+        return _let(flat, moved)
 
-    start = F.struct(word(mask & (mask << threshold)).alias("vp"), word(0).alias("vn"), F.lit(threshold).alias("distance"), word(top >> 1).alias("at"))
-    return F.aggregate(F.transform(y, matches), start, step, lambda acc: acc["distance"])
+    start = _struct(vp=word(mask & (mask << threshold)), vn=word(0), distance=F.lit(threshold), at=word(top >> 1))
+    letters = _struct(x=F.split(F.concat(F.lit(lead), a), ""), y=F.split(F.concat(F.lit(lead), b), ""))
+    columns = _let(letters, lambda z: F.transform(z["y"], matches(z["x"], F.size(z["x"]))))
+    return F.aggregate(columns, start, step, lambda acc: acc["distance"])
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether the edit distance of ``a`` and ``b`` is at most ``threshold``: cheap necessary tests, then the distance of what is not shared."""
-    few = (F.size(F.array_except(F.split(a, " "), F.split(b, " "))) <= 2 * threshold) & (F.size(F.array_except(F.split(b, " "), F.split(a, " "))) <= 2 * threshold)
-    pair = F.array(F.struct(*(c.alias(n) for c, n in zip(_trimmed(a, b), "ab", strict=True))))
-    back = F.transform(pair, lambda x: F.struct(*(c.alias(n) for c, n in zip(_trimmed(F.reverse(x["a"]), F.reverse(x["b"])), "ab", strict=True))))
-    distance = F.get(F.transform(back, lambda x: _bit_parallel(x["a"], x["b"], threshold)), F.lit(0))
+    words = _struct(a=F.split(a, " "), b=F.split(b, " "))
+    few = _let(words, lambda w: (F.size(F.array_except(w["a"], w["b"])) <= 2 * threshold) & (F.size(F.array_except(w["b"], w["a"])) <= 2 * threshold))
+    tails = _let(_struct(a=a, b=b), _trimmed)
+    middles = _let(_let(tails, lambda x: _struct(a=F.reverse(x["a"]), b=F.reverse(x["b"]))), _trimmed)
+    distance = _let(middles, lambda x: _bit_parallel(x["a"], x["b"], threshold))
     return F.when((F.abs(F.length(a) - F.length(b)) <= threshold) & few, distance <= threshold).otherwise(False)
 
 
@@ -169,50 +153,61 @@ def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return met.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("b").distinct()
 
 
-def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+def _by_pivots(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that three distances leave possible.
+
+    Distances to a line obey the triangle inequality: lines within the threshold of each other differ by no more
+    in their distances (cut off at ``FAR``) to any third one. So lines meet in cells of these distances.
+    """
+    own = texts.select(F.struct(*LINE).alias("first"), "line")
+    pivots = members.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2"), F.min_by("first", F.xxhash64("first")).alias("p3"))
+    for i in (1, 2, 3):
+        pivots = pivots.join(own.select(F.col("first").alias(f"p{i}"), F.col("line").alias(f"line{i}")), f"p{i}")
+    far = members.join(own, "first").join(cut(pivots.select("key", "line1", "line2", "line3"), "pivots"), "key")
+    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (1, 2, 3)]
+    far = cut(far.select("key", "first", "open", *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)]), "distances")
+    width = 2 * threshold + 1
+    asked = far.where("open").select("key", F.col("first").alias("b"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(3)])
+    for i in range(3):
+        asked = asked.withColumn(f"c{i}", F.explode(F.sequence(F.floor((F.col(f"e{i}") - threshold) / width), F.floor((F.col(f"e{i}") + threshold) / width))))
+    there = far.select("key", F.col("first").alias("a"), *[F.col(f"d{i}") for i in range(3)], *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in range(3)])
+    met = asked.join(there, ["key", "c0", "c1", "c2"])
+    return met.where((F.col("a") < F.col("b")) & (F.abs(F.col("d0") - F.col("e0")) <= threshold) & (F.abs(F.col("d1") - F.col("e1")) <= threshold) & (F.abs(F.col("d2") - F.col("e2")) <= threshold)).select("a", "b")
+
+
+def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """``b``: first occurrences (struct d, t, p) with a near, unequal line before them.
 
     ``each``: hashed lines; ``firsts``: ``h1, h2, first`` of the distinct ones.
     """
-    found = None
-    for level in range(1, levels + 1):
-        all_keys = keys(each, level, threshold)
-        facts = all_keys.groupBy("key").agg(F.min("probe").alias("probe"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
-        shared = cut(facts.where("probe = 0 AND lo != hi").select("key"), "shared")
-        posted = all_keys.join(shared, "key").groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe"))
-        posted = cut(posted.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("key", "probe", "first"), "posted")
-        wanted = posted.select(F.col("first.*")).distinct()
-        texts = cut(each.join(wanted, LINE).dropDuplicates(LINE), "texts")
-        sizes = posted.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("indexed"), F.count("*").alias("n"), F.min("first").alias("least"))
-        sized = cut(posted.join(cut(sizes, "sizes"), "key"), "sized")
-        few = sized.where(F.col("indexed") * F.col("n") <= crowd)
-        many = sized.where(F.col("indexed") * F.col("n") > crowd)
-        index, ask = few.where("probe = 0").select("key", F.col("first").alias("x")), few.select("key", F.col("first").alias("y"))
-        pairs = index.join(ask, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        stars = many.where("first != least").select(F.col("least").alias("a"), F.col("first").alias("b"))
-        near = cut(_later(pairs.unionByName(stars), texts, threshold), "near")
-        found = near if found is None else found.unionByName(near)
-        open_ = cut(many.where("first != least").join(near.withColumnRenamed("b", "first"), "first", "left_anti").select("key", "first"), "open")
-        left = open_.groupBy("key").agg(F.count("*").alias("open"))
-        left = cut(left.join(many.groupBy("key").agg(F.first("n").alias("n")), "key"), "left")
-        compared = left if level == levels else left.where(F.col("open") * F.col("n") <= 16 * crowd)
-        rest = open_.join(compared.select("key"), "key").select("key", F.col("first").alias("b"))
-        full = rest.join(many.select("key", F.col("first").alias("a")), "key").where("a < b").select("a", "b")
-        found = found.unionByName(cut(_later(full, texts, threshold), "near"))
-        again = left.join(compared.select("key"), "key", "left_anti").select("key")
-        if level == levels or again.isEmpty():
-            return found.distinct()
-        crowded = many.join(again, "key").select(F.col("first.*")).distinct()
-        each = cut(texts.join(crowded, LINE), "again")
-    return found
-
-
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+    facts = keys(each.select("h1", "n", "line"), threshold).groupBy("key").agg(F.min("probe").alias("probe"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    shared = cut(facts.where("probe = 0 AND lo != hi").select("key"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST else shared
+    posted = keys(each.select("h1", "h2", "n", "line"), threshold).join(shared, "key").groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe"))
+    posted = cut(posted.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("key", "probe", "first"), "posted")
+    texts = cut(each.select(*LINE, "line").join(posted.select(F.col("first.*")).distinct(), LINE).dropDuplicates(LINE), "texts")
+    sizes = posted.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("indexed"), F.count("*").alias("n"), F.min("first").alias("least"))
+    sized = cut(posted.join(cut(sizes, "sizes"), "key"), "sized")
+    few = sized.where(F.col("indexed") * F.col("n") <= crowd)
+    many = sized.where(F.col("indexed") * F.col("n") > crowd)
+    index, ask = few.where("probe = 0").select("key", F.col("first").alias("x")), few.select("key", F.col("first").alias("y"))
+    pairs = index.join(ask, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = many.where("first != least").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    near = cut(_later(pairs.unionByName(stars), texts, threshold), "near")
+    settled = near.select(F.col("b").alias("first"), F.lit(True).alias("settled"))
+    members = many.join(settled, "first", "left").select("key", "first", (F.col("settled").isNull() & (F.col("first") != F.col("least"))).alias("open"))
+    members = cut(members, "members")
+    busy = cut(members.where("open").select("key").distinct(), "busy")
+    rest = _later(_by_pivots(members.join(busy, "key"), texts, threshold), texts, threshold)
+    return near.unionByName(cut(rest, "near")).distinct()
+
+
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """``d, t, removed`` (array of places) for the documents that lose lines."""
     each = _hashed(lines(docs, min_chars))
     places = cut(each.select(*LINE, "h1", "h2"), "places")
     firsts = cut(places.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")), "firsts")
-    near = near_lines(each, firsts, threshold, crowd, levels).select(F.col("b").alias("first"), F.lit(True).alias("near"))
+    near = near_lines(each, firsts, threshold, crowd).select(F.col("b").alias("first"), F.lit(True).alias("near"))
     marks = firsts.join(cut(near, "near"), "first", "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = places.join(cut(marks, "marks"), ["h1", "h2"]).where(F.col("near") | (F.struct(*LINE) != F.col("first")))
     return cut(gone.select(*LINE).distinct().groupBy("d", "t").agg(F.collect_list("p").alias("removed")), "removed")
@@ -222,15 +217,15 @@ def _met(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, Column, Column, C
     """``docs`` next to their removed places: that join, the places, all lines, the text that stays."""
     d, t, r = (free_name(docs, n) for n in ("_doc", "_text", "_removed"))
     own = docs.withColumns(dict(zip((d, t), _key(), strict=True)))
-    met = own.join(gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("removed").alias(r)), [d, t], "left")
+    met = own.join(gone.hint("shuffle_hash").select(F.col("d").alias(d), F.col("t").alias(t), F.col("removed").alias(r)), [d, t], "left")
     places, every = F.col(r), F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), places)
     return met, places, every, F.when(places.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """``doc_id, text`` (without the removed lines), ``n_lines, n_long, n_removed`` of every row."""
-    met, places, every, text = _met(docs.select("doc_id", "text"), removed_lines(docs, threshold, min_chars, crowd, levels))
+    met, places, every, text = _met(docs.select("doc_id", "text"), removed_lines(docs, threshold, min_chars, crowd))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
     n_long = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(every, lambda x: F.length(x) >= min_chars)))
     return met.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_long.alias("n_long"), F.when(places.isNull(), 0).otherwise(F.size(places)).alias("n_removed"))
