@@ -9,7 +9,7 @@ shorter line's length in the key; candidates are verified by a banded bit-parall
 
 A substring that many lines share is not paired out. All its lines are first verified against
 its earliest one, which settles families of near copies in one comparison each. Lines that stay open meet only those
-whose distances to three pivot lines differ by no more than the threshold, which the triangle inequality asks of near
+whose lengths, and distances to four pivot lines, differ by no more than the threshold, which the triangle inequality asks of near
 lines; so nothing is lost.
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
@@ -32,7 +32,7 @@ MIN_CHARS = 32
 #: Candidate pairs under one key from which on its lines are not paired out. Cut-off of distances to pivots.
 CROWD, FAR = 400, 64
 LINE = ["d", "t", "p"]
-#: Shared keys (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+#: Shared keys (8 bytes each) that are broadcast at most, or half the places of removed lines (4 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
 
@@ -104,35 +104,35 @@ def _bit_parallel(a: Column, b: Column, threshold: int) -> Column:
     def word(value: int) -> Column:
         return F.lit(value).cast("long")
 
-    def matches(x: Column, rows: Column) -> Callable[[Column, Column], Column]:
-        def one(c: Column, i: Column) -> Column:
-            own = [F.when(F.get(x, i + (k - threshold)) == c, word(1 << k)).otherwise(word(0)) for k in range(width)]
-            return _struct(m=sum(own[1:], own[0]), down=i < rows - threshold)
+    def matches(x: Column, c: Column, i: Column) -> Column:
+        own = [F.when(F.get(x, i + (k - threshold)) == c, word(1 << k)).otherwise(word(0)) for k in range(width)]
+        return sum(own[1:], own[0])
 
-        return one
+    def step(z: Column, acc: Column, i: Column) -> Column:
+        vp, vn, down_here = acc["vp"], acc["vn"], i < z["rows"] - threshold
 
-    def step(acc: Column, s: Column) -> Column:
-        vp, vn = acc["vp"], acc["vn"]
-        d0 = ((s["m"].bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(s["m"]).bitwiseOR(vn).bitwiseAND(word(mask))
-        flat = _let(d0, lambda d: _struct(d0=d, hp=vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(word(mask))).bitwiseAND(word(mask)), hn=d.bitwiseAND(vp)))
+        def words(m: Column) -> Column:
+            return ((m.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(word(mask))
 
-        def moved(f: Column) -> Column:
-            over = F.shiftrightunsigned(f["d0"], 1)
-            along = F.when(f["hp"].bitwiseAND(acc["at"]) != 0, 1).otherwise(0) - F.when(f["hn"].bitwiseAND(acc["at"]) != 0, 1).otherwise(0)
-            down = F.when(f["d0"].bitwiseAND(word(top)) == 0, 1).otherwise(0)
+        def moved(d: Column) -> Column:
+            hp, hn, over = vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(word(mask))).bitwiseAND(word(mask)), d.bitwiseAND(vp), F.shiftrightunsigned(d, 1)
+            along = F.when(hp.bitwiseAND(acc["at"]) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(acc["at"]) != 0, 1).otherwise(0)
+            down = F.when(d.bitwiseAND(word(top)) == 0, 1).otherwise(0)
             return _struct(
-                vp=f["hn"].bitwiseOR(over.bitwiseOR(f["hp"]).bitwiseXOR(word(mask))).bitwiseAND(word(mask)),
-                vn=over.bitwiseAND(f["hp"]),
-                distance=acc["distance"] + F.when(s["down"], down).otherwise(along),
-                at=F.when(s["down"], acc["at"]).otherwise(F.shiftrightunsigned(acc["at"], 1)),
+                vp=hn.bitwiseOR(over.bitwiseOR(hp).bitwiseXOR(word(mask))).bitwiseAND(word(mask)),
+                vn=over.bitwiseAND(hp),
+                distance=acc["distance"] + F.when(down_here, down).otherwise(along),
+                at=F.when(down_here, acc["at"]).otherwise(F.shiftrightunsigned(acc["at"], 1)),
             )
 
-        return _let(flat, moved)
+        new = _let(_let(matches(z["x"], F.get(z["y"], i), i), words), moved)
+        # the last steps, along the row, are 2 * threshold at most and win back one each: from here on it stays above the threshold
+        return F.when(acc["distance"] > 3 * threshold, acc).otherwise(new)
 
     start = _struct(vp=word(mask & (mask << threshold)), vn=word(0), distance=F.lit(threshold), at=word(top >> 1))
     letters = _struct(x=F.split(F.concat(F.lit(lead), a), ""), y=F.split(F.concat(F.lit(lead), b), ""))
-    columns = _let(letters, lambda z: F.transform(z["y"], matches(z["x"], F.size(z["x"]))))
-    return F.aggregate(columns, start, step, lambda acc: acc["distance"])
+    sized = _let(letters, lambda z: _struct(x=z["x"], y=z["y"], rows=F.size(z["x"])))
+    return _let(sized, lambda z: F.aggregate(F.sequence(F.lit(0), F.size(z["y"]) - 1), start, lambda acc, i: step(z, acc, i), lambda acc: acc["distance"]))
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -154,25 +154,27 @@ def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _by_pivots(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that three distances leave possible.
+    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that their distances leave possible.
 
     Distances to a line obey the triangle inequality: lines within the threshold of each other differ by no more
     in their distances (cut off at ``FAR``) to any third one. So lines meet in cells of these distances.
     """
     own = texts.select(F.struct(*LINE).alias("first"), "line")
-    pivots = members.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2"), F.min_by("first", F.xxhash64("first")).alias("p3"))
-    for i in (1, 2, 3):
+    pivots = members.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2"), F.min_by("first", F.xxhash64("first")).alias("p3"), F.max_by("first", F.xxhash64("first")).alias("p4"))
+    for i in (1, 2, 3, 4):
         pivots = pivots.join(own.select(F.col("first").alias(f"p{i}"), F.col("line").alias(f"line{i}")), f"p{i}")
-    far = members.join(own, "first").join(cut(pivots.select("key", "line1", "line2", "line3"), "pivots"), "key")
-    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (1, 2, 3)]
-    far = cut(far.select("key", "first", "open", *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)]), "distances")
+    far = members.join(own, "first").join(cut(pivots.select("key", "line1", "line2", "line3", "line4"), "pivots"), "key")
+    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (1, 2, 3, 4)]
+    far = cut(far.select("key", "first", "open", F.length("line").alias("d4"), *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)]), "distances")
     width = 2 * threshold + 1
-    asked = far.where("open").select("key", F.col("first").alias("b"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(3)])
+    asked = far.where("open").select("key", F.col("first").alias("b"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(5)])
     for i in range(3):
         asked = asked.withColumn(f"c{i}", F.explode(F.sequence(F.floor((F.col(f"e{i}") - threshold) / width), F.floor((F.col(f"e{i}") + threshold) / width))))
-    there = far.select("key", F.col("first").alias("a"), *[F.col(f"d{i}") for i in range(3)], *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in range(3)])
-    met = asked.join(there, ["key", "c0", "c1", "c2"])
-    return met.where((F.col("a") < F.col("b")) & (F.abs(F.col("d0") - F.col("e0")) <= threshold) & (F.abs(F.col("d1") - F.col("e1")) <= threshold) & (F.abs(F.col("d2") - F.col("e2")) <= threshold)).select("a", "b")
+    there = far.select("key", F.col("first").alias("a"), *[F.col(f"d{i}") for i in range(5)], *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in range(3)])
+    near = F.col("a") < F.col("b")
+    for i in range(5):
+        near = near & (F.abs(F.col(f"d{i}") - F.col(f"e{i}")) <= threshold)
+    return asked.join(there, ["key", "c0", "c1", "c2"]).where(near).select("a", "b")
 
 
 def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
@@ -182,10 +184,16 @@ def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, c
     """
     facts = keys(each.select("h1", "n", "line"), threshold).groupBy("key").agg(F.min("probe").alias("probe"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
     shared = cut(facts.where("probe = 0 AND lo != hi").select("key"), "shared")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST else shared
-    posted = keys(each.select("h1", "h2", "n", "line"), threshold).join(shared, "key").groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe"))
-    posted = cut(posted.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("key", "probe", "first"), "posted")
-    texts = cut(each.select(*LINE, "line").join(posted.select(F.col("first.*")).distinct(), LINE).dropDuplicates(LINE), "texts")
+    own = firsts.select("h1", "h2", "first")
+    if shared.count() <= BROADCAST:  # the lines come along, and need not be read again
+        met = cut(keys(each.select("h1", "h2", "n", "line"), threshold).join(F.broadcast(shared), "key").select("key", "probe", "h1", "h2", "line"), "met")
+        texts = cut(met.dropDuplicates(["h1", "h2"]).join(own, ["h1", "h2"]).select("first.*", "line"), "texts")
+    else:
+        met = keys(each.select("h1", "h2", "n", "line"), threshold).select("key", "probe", "h1", "h2").join(shared, "key")
+        texts = None
+    posted = cut(met.groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe")).join(own, ["h1", "h2"]).select("key", "probe", "first"), "posted")
+    if texts is None:
+        texts = cut(each.select(*LINE, "line").join(posted.select(F.col("first.*")).distinct(), LINE).dropDuplicates(LINE), "texts")
     sizes = posted.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("indexed"), F.count("*").alias("n"), F.min("first").alias("least"))
     sized = cut(posted.join(cut(sizes, "sizes"), "key"), "sized")
     few = sized.where(F.col("indexed") * F.col("n") <= crowd)
@@ -217,7 +225,8 @@ def _met(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, Column, Column, C
     """``docs`` next to their removed places: that join, the places, all lines, the text that stays."""
     d, t, r = (free_name(docs, n) for n in ("_doc", "_text", "_removed"))
     own = docs.withColumns(dict(zip((d, t), _key(), strict=True)))
-    met = own.join(gone.hint("shuffle_hash").select(F.col("d").alias(d), F.col("t").alias(t), F.col("removed").alias(r)), [d, t], "left")
+    small = (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= 2 * BROADCAST  # 4 bytes each
+    met = own.join(gone.hint("broadcast" if small else "shuffle_hash").select(F.col("d").alias(d), F.col("t").alias(t), F.col("removed").alias(r)), [d, t], "left")
     places, every = F.col(r), F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), places)
     return met, places, every, F.when(places.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
