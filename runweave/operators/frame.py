@@ -306,21 +306,23 @@ class SegmentFrame:
     def apply(self, f: Callable, defragment: bool = True, **kwargs) -> SegmentFrame:
         """``f`` maps a key's (runs, values), numpy arrays in order, to new ones. A key's vector is handed over whole."""
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         keys = self.keys
 
-        def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("seg_start")
-            runs, values = f((rows.seg_end - rows.seg_start).to_numpy().copy(), rows.value.to_numpy().copy(), **kwargs)
+        def one(key: tuple, rows: pa.Table) -> pa.Table:
+            start, end, value = (rows[c].to_numpy() for c in SEGMENT)
+            order = np.argsort(start)
+            runs, values = f((end - start)[order], value[order], **kwargs)
             runs, values = np.asarray(runs, np.int64), np.asarray(values, np.float64)
             if len(runs) != len(values):
                 raise ValueError("runs and values differ in length")
             runs, values = runs[runs > 0], values[runs > 0]
             ends = np.cumsum(runs)
-            return pd.DataFrame({**dict(zip(keys, key, strict=True)), "seg_start": ends - runs, "seg_end": ends, "value": values})
+            columns = [pa.array([k.as_py()] * len(runs), pa.string()) for k in key] + [pa.array(c) for c in (ends - runs, ends, values)]
+            return pa.Table.from_arrays(columns, names=[*keys, *SEGMENT])
 
-        out = self._new(self.df.groupBy(*keys).applyInPandas(one, self.df.schema))
+        out = self._new(self.df.groupBy(*keys).applyInArrow(one, self.df.schema))
         return out.coalesce() if defragment else out
 
     def apply_values(self, f: Callable, defragment: bool = True, **kwargs) -> SegmentFrame:
