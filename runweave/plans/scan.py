@@ -31,7 +31,6 @@ def scan(df: DataFrame, keys: list[str], pos: str, sums: tuple[str, ...] = (), f
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0.0)).alias(f"_sum_{c}") for c in sums] + [F.last(f"_fill_{c}", ignorenulls=True).over(before).alias(f"_fill_{c}") for c in fills]
     carried += [F.lag(f"_last_{c}").over(across).alias(f"_last_{c}") for c in lags] + [F.lead(f"_first_{c}").over(across).alias(f"_first_{c}") for c in leads]
-
     tiles = tiles.select(*by, *carried)
     out = df.withColumns(made | {"_top": F.row_number().over(rows) == 1, "_end": F.lead(pos).over(rows).isNull()}).join(tiles, by)
     joined = {f"{c}_sum": F.col(f"{c}_sum") + F.col(f"_sum_{c}") for c in sums} | {f"{c}_fill": F.coalesce(f"{c}_fill", f"_fill_{c}") for c in fills}

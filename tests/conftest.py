@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 
 import pytest
@@ -25,3 +26,4 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree("/tmp/checkpoints/runweave", ignore_errors=True)
