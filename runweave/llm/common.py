@@ -32,6 +32,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote to the shared folder, whatever file system that is on. For when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/runweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(column: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id hashes as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
