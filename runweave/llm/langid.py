@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -235,16 +235,15 @@ def fit_languages(docs: DataFrame, hold: int | None = 2, k: int = 4, fit_rows: i
     """A model from at most ``fit_rows`` labelled rows outside fold ``hold``; ids are chosen before any text is read."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     rows = rows.where(fold("doc_id", k) != hold) if hold is not None else rows
+    # As many rows of each language, so that a language with few is learned as well. A limit on a rank is taken within each
+    # task first, so that a language with most of the rows moves no more of them than any other.
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.col("doc_id")]
-    # as many rows of each language, so that a language with few is learned as well
-    languages = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit_rows).collect()]
-    each = max(1, fit_rows // max(1, len(languages)))
-    taken: list[tuple[str, str]] = []
-    for lang in languages:
-        own = rows.where(F.col("lang") == lang)
-        chosen = own.select("doc_id").distinct().orderBy(*order).limit(each)
-        texts = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # fit_rows ids at most
-        taken += [(r["text"], lang) for r in texts.orderBy(*order, "text").limit(each).collect()]
+    languages = max(1, rows.select("lang").distinct().count())
+    each, by_lang = max(1, fit_rows // languages), Window.partitionBy("lang")
+    chosen = rows.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(by_lang.orderBy(*order))).where(F.col("rank") <= each).orderBy("rank", "lang").limit(fit_rows)
+    texts = rows.select("lang", "doc_id", "text").join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")  # fit_rows ids at most
+    texts = texts.withColumn("rank", F.row_number().over(by_lang.orderBy(*order, "text"))).where(F.col("rank") <= each)
+    taken = [(r["text"], r["lang"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["rank"]))]
     taken = list(dict.fromkeys(x for x in taken if any(c.isalpha() for c in x[0])))
     return train(taken) if taken else None
 
