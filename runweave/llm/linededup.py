@@ -9,8 +9,8 @@ shorter line's length in the key; candidates are verified by a banded bit-parall
 
 A substring that many lines share is not paired out. All its lines are first verified against
 its earliest one, which settles families of near copies in one comparison each. Lines that stay open meet only those
-whose lengths, and distances to four pivot lines, differ by no more than the threshold, which the triangle inequality asks of near
-lines; so nothing is lost.
+whose lengths, and distances to two pivot lines, differ by no more than the threshold (the triangle inequality asks that
+of near lines), and whose counts of letters differ by no more than twice that; so nothing is lost.
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
 (their lines count once); a null id comes first; a document all of whose long lines went is dropped by
@@ -30,8 +30,9 @@ from .common import cut, free_name, whole
 THRESHOLD = 2
 MIN_CHARS = 32
 #: Candidate pairs under one key from which on its lines are not paired out. Cut-off of distances to pivots.
-CROWD, FAR = 400, 64
+CROWD, FAR = 64, 24
 LINE = ["d", "t", "p"]
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 #: Shared keys (8 bytes each) that are broadcast at most, or half the places of removed lines (4 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -153,28 +154,35 @@ def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return met.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("b").distinct()
 
 
+def _letters(line: Column) -> Column:
+    """How often each of a few letters stands in a line: an edit changes two of the counts by one at most."""
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c))) for c in LETTERS])
+
+
 def _by_pivots(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that their distances leave possible.
+    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that cheap facts leave possible.
 
     Distances to a line obey the triangle inequality: lines within the threshold of each other differ by no more
-    in their distances (cut off at ``FAR``) to any third one. So lines meet in cells of these distances.
+    in their distances (cut off at ``FAR``) to a third one, so lines meet in cells of these distances. Their lengths
+    differ by no more either, and their counts of letters by twice as much in all.
     """
     own = texts.select(F.struct(*LINE).alias("first"), "line")
-    pivots = members.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2"), F.min_by("first", F.xxhash64("first")).alias("p3"), F.max_by("first", F.xxhash64("first")).alias("p4"))
-    for i in (1, 2, 3, 4):
+    pivots = members.groupBy("key").agg(F.min("first").alias("p0"), F.max("first").alias("p1"))
+    for i in (0, 1):
         pivots = pivots.join(own.select(F.col("first").alias(f"p{i}"), F.col("line").alias(f"line{i}")), f"p{i}")
-    far = members.join(own, "first").join(cut(pivots.select("key", "line1", "line2", "line3", "line4"), "pivots"), "key")
-    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (1, 2, 3, 4)]
-    far = cut(far.select("key", "first", "open", F.length("line").alias("d4"), *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)]), "distances")
-    width = 2 * threshold + 1
-    asked = far.where("open").select("key", F.col("first").alias("b"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(5)])
-    for i in range(3):
+    far = members.join(own, "first").join(cut(pivots.select("key", "line0", "line1"), "pivots"), "key")
+    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (0, 1)]
+    far = far.select("key", "first", "open", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"), *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)])
+    far, width = cut(far, "distances"), 2 * threshold + 1
+    asked = far.where("open").select("key", F.col("first").alias("b"), F.col("n").alias("m"), F.col("letters").alias("others"), F.col("d0").alias("e0"), F.col("d1").alias("e1"))
+    for i in (0, 1):
         asked = asked.withColumn(f"c{i}", F.explode(F.sequence(F.floor((F.col(f"e{i}") - threshold) / width), F.floor((F.col(f"e{i}") + threshold) / width))))
-    there = far.select("key", F.col("first").alias("a"), *[F.col(f"d{i}") for i in range(5)], *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in range(3)])
+    there = far.select("key", F.col("first").alias("a"), "n", "letters", "d0", "d1", *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in (0, 1)])
     near = F.col("a") < F.col("b")
-    for i in range(5):
-        near = near & (F.abs(F.col(f"d{i}") - F.col(f"e{i}")) <= threshold)
-    return asked.join(there, ["key", "c0", "c1", "c2"]).where(near).select("a", "b")
+    for x, y in (("n", "m"), ("d0", "e0"), ("d1", "e1")):
+        near = near & (F.abs(F.col(x) - F.col(y)) <= threshold)
+    apart = F.aggregate(F.zip_with("letters", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    return asked.join(there, (asked["key"] == there["key"]) & (asked["c0"] == there["c0"]) & (asked["c1"] == there["c1"]) & near & (apart <= 2 * threshold)).select("a", "b")
 
 
 def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
@@ -228,8 +236,11 @@ def _met(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, Column, Column, C
     small = (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= 2 * BROADCAST  # 4 bytes each
     met = own.join(gone.hint("broadcast" if small else "shuffle_hash").select(F.col("d").alias(d), F.col("t").alias(t), F.col("removed").alias(r)), [d, t], "left")
     places, every = F.col(r), F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), places)
-    return met, places, every, F.when(places.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
+
+    def without(x: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i)), "\n")
+
+    return met, places, every, F.when(places.isNull(), F.col("text")).otherwise(_let(every, without))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
