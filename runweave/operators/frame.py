@@ -248,8 +248,8 @@ class SegmentFrame:
         if isinstance(key, slice):
             return self.slice(key.start, key.stop)
         if isinstance(key, list):
-            points = self.df.sparkSession.createDataFrame([(int(p),) for p in key], "pos long")
-            return self.at_many(self.df.select(*self.keys).distinct().join(F.broadcast(points)))  # a list of the caller's
+            points = F.array(*[F.lit(int(p)).cast("long") for p in key]) if key else F.array().cast("array<bigint>")
+            return self.at_many(self.df.select(*self.keys).distinct().withColumn("pos", F.explode(points)))
         if isinstance(key, DataFrame):
             return self.lookup(key)
         if isinstance(key, tuple) and len(key) == 2:

@@ -192,7 +192,8 @@ for _name, _sign in SIGNS.items():
 @query("SELECT TRUE AS same, FALSE AS other")
 def collection_equal(spark, d):
     one, two = cov(spark, d), cov(spark, d, "+")
-    return one.equal(cov(spark, d)).withColumnRenamed("equal", "same").join(F.broadcast(one.equal(two).withColumnRenamed("equal", "other")))  # one row each
+    answers = one.equal(cov(spark, d)).select(F.lit("same").alias("of"), "equal").unionByName(one.equal(two).select(F.lit("other").alias("of"), "equal"))
+    return answers.agg(*[F.bool_or(F.when(F.col("of") == n, F.col("equal"))).alias(n) for n in ("same", "other")])
 
 
 # ---- lookup --------------------------------------------------------------------------------------------------------------
