@@ -66,7 +66,9 @@ def keys(each: DataFrame, threshold: int) -> DataFrame:
     begin = base * F.col("x.j") + F.greatest(F.lit(0), F.col("x.j") - parts + odd) + F.col("x.s")
     size = base + F.when(F.col("x.j") >= F.lit(parts) - odd, 1).otherwise(0)
     asked = asked.where((begin >= 0) & (begin + size <= F.col("n")))
-    return asked.select(*each.columns, F.xxhash64(n, "x.j", F.substring("line", begin + 1, size)).alias("key"), F.col("x.probe").alias("probe"))
+    # in lines of one-byte characters a substring of the bytes is the same one, and is found without counting characters
+    own = [F.xxhash64(n, "x.j", F.substring(line, begin + 1, size)) for line in (F.col("line").cast("binary"), F.col("line"))]
+    return asked.select(*each.columns, F.when(F.octet_length("line") == F.col("n"), own[0]).otherwise(own[1]).alias("key"), F.col("x.probe").alias("probe"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
