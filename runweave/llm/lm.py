@@ -6,12 +6,14 @@ pays that context's escape (the share of its distinct symbols and of its rare ma
 on one byte shorter, with the symbols of the longer context excluded; below the empty context
 the remaining symbols are equally likely. Texts start after, and end with, symbol 256.
 
-Counting is distributed: each task counts (context, symbol) grams of full length, one shuffle
-adds them up, and shorter contexts are their sums. A trie node stays where at least
-``NODE_SHARE`` of all training symbols reach it, so each order has at most 1 / NODE_SHARE nodes
-at any corpus size; what falls below counts as its context's escape. Likewise words that make up
-1 / HOT_WORDS of all tokens, which are HOT_WORDS at most, are looked up in a broadcast table;
-all other words meet their counts in a join.
+Counting is distributed: the rows are taken in chunks of about ``PIECE`` bytes, each of which names its distinct
+(context, symbol) grams of full length and how often training texts hold them. One shuffle adds these
+up, and brings each gram to the bucket of its last ``NEAR`` context symbols, where all counts of the contexts
+that end so are; shorter contexts have 257 ** (NEAR + 1) nodes at most in any corpus and are broadcast. Buckets
+give each chunk's grams their values, and these meet the chunk's texts. Every counted node is kept
+(``share`` prunes those that fewer than that part of the training symbols reach, into their
+context's escape). Words that make up 1 / HOT_WORDS of all tokens, which are HOT_WORDS at most, are looked
+up in a broadcast table; all other words meet their counts in a join.
 
 Results by case: a null or empty text is the end token alone; repeated rows are scored and
 counted as often as they occur; a null id is in the fold of the empty text; an empty table gives
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import cut, fold
 
 ORDER = 4
-NODE_SHARE = 5e-7
+#: Context symbols that name a bucket, rows of buckets handled at a time, and bytes of texts in one chunk.
+NEAR, ROWS, PIECE = 2, 1 << 19, 1 << 24
 HOT_WORDS = 1_000_000
 END = 256
 SYMBOLS = 257
@@ -162,10 +165,23 @@ class Trie:
         return out
 
 
+class Values:
+    """log10 probabilities of known grams, with the same lookup as a trie's."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.value = gram[order].astype(np.uint64), value[order]
+
+    def log10(self, gram: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.gram, gram)
+        assert len(self.gram) and (self.gram[np.minimum(at, len(self.gram) - 1)] == gram).all(), "a gram without a value"
+        return self.value[at]
+
+
 class Scorer:
-    """Sums of a trie's log10 over texts; grams met before are looked up by slot."""
+    """Sums of log10 values over texts; grams met before are looked up by slot."""
 
-    def __init__(self, trie: Trie, order: int):
+    def __init__(self, trie: Trie | Values, order: int):
         self.trie, self.order = trie, order
         self.keys, self.values = np.full(1 << SLOTS_LOG2, _EMPTY), np.zeros(1 << SLOTS_LOG2)
 
@@ -193,98 +209,187 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def counts(training: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, word, n``: full-length grams (word null) and tokens (gram null; the end token is the empty word) of ``text``."""
+def dealt(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``chunk`` with the rows' ``doc_id, text`` (a null text is empty), each chunk's distinct ``gram`` and its ``n`` in training
+    texts, and training tokens ``word, n`` (the end token is the empty word). ``rows``: doc_id, text, training."""
+
+    def said(names: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(names.values())))
+        return pa.RecordBatch.from_arrays([names.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = GramCounter(), Counter()
+        chunk, size, words = TaskContext.get().partitionId() << 32, 0, Counter()
+        seen = {True: GramCounter(), False: GramCounter()}
 
-        def said() -> Iterator[pa.RecordBatch]:
+        def spoken() -> Iterator[pa.RecordBatch]:
             keys = list(words)
             for i in range(0, len(keys), 100_000):
                 part = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part, pa.binary()), pa.array([words[k] for k in part], pa.int64())], names=["gram", "word", "n"])
+                yield said({"word": pa.array(part, pa.binary()), "n": pa.array([words[k] for k in part], pa.int64())})
             words.clear()
 
+        def closed() -> Iterator[pa.RecordBatch]:
+            (keys, n), (more, _) = seen[True].items(), seen[False].items()
+            more = np.setdiff1d(more, keys)
+            keys, n = np.concatenate([keys, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
+            for i in range(0, len(keys), 500_000):
+                part = keys[i : i + 500_000]
+                yield said({"chunk": pa.array(np.full(len(part), chunk)), "gram": pa.array(part.view(np.int64)), "n": pa.array(n[i : i + 500_000])})
+            seen.update({True: GramCounter(), False: GramCounter()})
+
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                raw = [_raw(t) for t in batch.column(0).slice(i, 256).to_pylist()]
-                for gram, _ in grams(raw, order):
-                    seen.add(gram)
-                for r in raw:
-                    words.update(r.lower().split())
-                words[b""] += len(raw)
+                part = batch.slice(i, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                raw, training = [_raw(t) for t in texts], part.column(2).to_pylist()
+                for kind, counter in seen.items():
+                    for gram, _ in grams([r for r, own in zip(raw, training, strict=True) if own == kind], order):
+                        counter.add(gram)
+                for r, own in zip(raw, training, strict=True):
+                    if own:
+                        words.update(r.lower().split())
+                if any(training):
+                    words[b""] += sum(training)
+                size += sum(map(len, raw))
+                yield said({"chunk": pa.array(np.full(len(raw), chunk)), "doc_id": part.column(0), "text": pa.array(texts, pa.string())})
+                if size >= PIECE:
+                    yield from closed()
+                    chunk, size = chunk + 1, 0
                 if len(words) > 1_000_000:
-                    yield from said()
-        yield from said()
-        keys, n = seen.items()
-        for i in range(0, len(keys), 500_000):
-            part = keys[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.binary()), pa.array(n[i : i + 500_000])], names=["gram", "word", "n"])
+                    yield from spoken()
+        yield from spoken()
+        yield from closed()
 
-    return training.select("text").mapInArrow(counted, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return rows.select("doc_id", "text", "training").mapInArrow(counted, "chunk long, doc_id long, text string, gram long, word binary, n long")
 
 
-def fit_trie(table: DataFrame, order: int = ORDER, share: float = NODE_SHARE) -> Trie:
-    """The trie of ``counts``' grams; each order collects at most 1 / share nodes."""
-    level = table.where(F.col("gram").isNotNull()).select("gram", "n")
-    all_ = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(all_ * share))
-    nodes, totals = [], []
-    for j in range(order, -1, -1):
-        if j < order:
-            level = cut(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 9 * (j + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "level")
-        kept = level.where(F.col("n") >= least).toArrow()
-        after = level.groupBy(F.shiftrightunsigned("gram", 9).alias("gram")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).where(F.col("top") >= least).toArrow()
-        nodes.append((kept["gram"].to_numpy().astype(np.uint64), kept["n"].to_numpy()))
-        totals.append((after["gram"].to_numpy().astype(np.uint64), after["n"].to_numpy()))
-    return Trie(nodes[::-1], totals[::-1])
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, back = np.unique(key, return_inverse=True)
+    return own.astype(np.uint64), np.bincount(back, n, len(own)).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, k: int = 5, hold: int = 1, order: int = ORDER, share: float = NODE_SHARE, hot_words: int = HOT_WORDS) -> DataFrame:
+def _levels(gram: np.ndarray, n: np.ndarray, orders: range, least: int) -> tuple[list, list]:
+    """Kept nodes and contexts' totals of ``orders`` from longer grams and their counts."""
+    nodes, totals = [], []
+    for j in orders:
+        own, m = _sums(gram & np.uint64((1 << 9 * (j + 1)) - 1), n)
+        totals.append(_sums(own >> np.uint64(9), m))
+        nodes.append((own[m >= least], m[m >= least]))
+    return nodes, totals
+
+
+def gram_values(asked: DataFrame, counted: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
+    """``chunk, gram, value`` (log10) for the rows of ``asked`` (chunk, gram) by the counts ``counted`` (gram, n).
+
+    No task holds more of the trie than some whole buckets and the broadcast levels.
+    """
+    near = min(NEAR, order)
+    least = max(1, math.ceil((counted.agg(F.sum("n")).first()[0] or 0) * share))
+    short = counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 9 * near) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow() if near else None
+    low = _levels(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy(), range(near), least) if near else ([], [])
+    shared = counted.sparkSession.sparkContext.broadcast(low)
+    bucket = F.shiftrightunsigned("gram", 9).bitwiseAND(F.lit((1 << 9 * near) - 1)).alias("bucket")
+    rows = counted.select(F.lit(None).cast("long").alias("chunk"), "gram", "n", bucket).unionByName(asked.select("chunk", "gram", F.lit(0).cast("long").alias("n"), bucket))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, totals = shared.value
+
+        def evaluated(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            ask = table.column("chunk").is_valid().to_numpy()
+            gram, n = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+            own, more = _levels(gram[~ask], n[~ask], range(near, order + 1), least)
+            new, back = np.unique(gram[ask], return_inverse=True)
+            value = Trie([*nodes, *own], [*totals, *more]).log10(new)[back]
+            chunk = table.column("chunk").drop_null().to_numpy()
+            for i in range(0, len(value), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[i : i + ROWS]), pa.array(gram[ask][i : i + ROWS].view(np.int64)), pa.array(value[i : i + ROWS])], names=["chunk", "gram", "value"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table.column("bucket").to_numpy()
+                back = int(np.searchsorted(key, key[-1]))  # buckets arrive in order; the last may go on
+                if back:
+                    yield from evaluated(table.slice(0, back))
+                held, size = table.slice(back).to_batches(), size - back
+        if size:
+            yield from evaluated(pa.Table.from_batches(held))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(valued, "chunk long, gram long, value double")
+
+
+def score_texts(docs: DataFrame, k: int = 5, hold: int = 1, order: int = ORDER, share: float = 0.0, hot_words: int = HOT_WORDS) -> DataFrame:
     """Scores of every row of ``docs`` by models of the rows whose fold is not ``hold``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    table = cut(counts(rows.where(fold("doc_id", k) != hold), order), "counts")
-    words = table.where(F.col("word").isNotNull()).select("word", "n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), (fold("doc_id", k) != hold).alias("training"))
+    table = cut(dealt(rows, order), "dealt")
+    words = cut(table.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    asked = table.where(F.col("gram").isNotNull()).select("chunk", "gram", "n")
+    counted = cut(asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    values = cut(gram_values(asked, counted, order, share), "values")
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = facts["n"] or 0, facts["v"]
     hot = words.where(F.col("n") * hot_words >= total).toArrow()
     z = total + 0.5 * (distinct + 1)
-    model = spark.sparkContext.broadcast((fit_trie(table, order, share), dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True))))
+    model = spark.sparkContext.broadcast(dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True)))
+    texts = table.where(F.col("text").isNotNull()).select("chunk", "doc_id", "text", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("value"))
+    met = texts.unionByName(values.select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "gram", "value"))
+    met = met.repartition("chunk").sortWithinPartitions("chunk", F.col("gram").isNull())  # a chunk's values come before its texts
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Scorer]]:
+        """Slices of texts, each with its chunk's scorer."""
+        now, held, scorer = None, [], None
+        for batch in batches:
+            chunk, is_text = batch.column(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(chunk) != 0) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    now, held, scorer = chunk[a], [], None
+                if not is_text[a]:
+                    held.append((batch.column(3).slice(a, b - a).to_numpy(), batch.column(4).slice(a, b - a).to_numpy()))
+                    continue
+                if scorer is None:
+                    scorer, held = Scorer(Values(*(np.concatenate(c) for c in zip(*held, strict=True))), order), []
+                for i in range(a, b, 256):
+                    yield batch.slice(i, min(256, b - i)), scorer
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, often = model.value
-        scorer, log = Scorer(trie, order), {w: math.log10((n + 0.5) / z) for w, n in often.items()}
+        log = {w: math.log10((n + 0.5) / z) for w, n in model.value.items()}
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                raw = [_raw(t) for t in batch.column(1).slice(i, 256).to_pylist()]
-                heads, rare = [], ([], [], [])
-                for r in raw:
-                    own = r.lower().split()
-                    own.append(b"")
-                    base, known, cold = 0.0, 0, Counter()
-                    for w in own:
-                        if (x := log.get(w)) is not None:
-                            base += x
-                            known += 1
-                        else:
-                            cold[w] += 1
-                    heads.append((row, len(own), known, base))
-                    rare[0].extend([row] * len(cold))
-                    rare[1].extend(cold)
-                    rare[2].extend(cold.values())
-                    row += 1
-                ids, n, known, base = zip(*heads, strict=True)
-                none = pa.nulls(len(raw), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none, pa.array(n, pa.int64()), batch.column(0).slice(i, 256), pa.array(known, pa.int64()), pa.array(base), pa.array(scorer(raw))], names=names)
-                for j in range(0, len(rare[0]), 200_000):
-                    m = len(rare[0][j : j + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(rare[0][j : j + 200_000], pa.int64()), pa.array(rare[1][j : j + 200_000], pa.binary()), pa.array(rare[2][j : j + 200_000], pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+        for part, scorer in parts(batches):
+            raw = [_raw(t) for t in part.column(2).to_pylist()]
+            heads, rare = [], ([], [], [])
+            for r in raw:
+                own = r.lower().split()
+                own.append(b"")
+                base, known, cold = 0.0, 0, Counter()
+                for w in own:
+                    if (x := log.get(w)) is not None:
+                        base += x
+                        known += 1
+                    else:
+                        cold[w] += 1
+                heads.append((row, len(own), known, base))
+                rare[0].extend([row] * len(cold))
+                rare[1].extend(cold)
+                rare[2].extend(cold.values())
+                row += 1
+            ids, n, known, base = zip(*heads, strict=True)
+            none = pa.nulls(len(raw), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none, pa.array(n, pa.int64()), part.column(1), pa.array(known, pa.int64()), pa.array(base), pa.array(scorer(raw))], names=names)
+            for j in range(0, len(rare[0]), 200_000):
+                m = len(rare[0][j : j + 200_000])
+                yield pa.RecordBatch.from_arrays([pa.array(rare[0][j : j + 200_000], pa.int64()), pa.array(rare[1][j : j + 200_000], pa.binary()), pa.array(rare[2][j : j + 200_000], pa.int64()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
     names = ["row", "word", "n", "doc_id", "known", "base", "score"]
-    made = cut(rows.mapInArrow(scored, "row long, word binary, n long, doc_id long, known long, base double, score double"), "scored")
+    made = cut(met.mapInArrow(scored, "row long, word binary, n long, doc_id long, known long, base double, score double"), "scored")
     heads = made.where(F.col("word").isNull())
     rare = made.where(F.col("word").isNotNull()).select("row", "word", F.col("n").alias("tf"))
     met = rare.join(words.where(F.col("n") * hot_words < total), "word", "left")

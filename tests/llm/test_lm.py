@@ -129,3 +129,24 @@ def test_empty_table_and_no_training_rows(spark):
     held = next(i for i in range(100) if not in_training(i))
     row = lm.score_texts(spark.createDataFrame([(held, "ab")], schema)).first()
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["score"] == pytest.approx(-3 * math.log10(257))
+
+
+def test_rare_grams_keep_their_contexts(spark, monkeypatch):
+    """Above two million symbols nothing is pruned either; many small chunks and buckets."""
+    monkeypatch.setattr(lm, "ROWS", 50, raising=False)
+    monkeypatch.setattr(lm, "PIECE", 1 << 18, raising=False)
+    rng = np.random.default_rng(4)
+    often = "".join(rng.choice(list("abc "), 500))
+    docs = [(i, often * 20) for i in range(300)] + [(1000 + i, f"quixotic zephyr {i * 7919} {often[:30]}") for i in range(30)]
+    texts = [t for d, t in docs if in_training(d)]
+    assert sum(len(t) + 1 for t in texts) > 2_100_000
+    rows = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).where("doc_id >= 1000").collect()}
+    grams = Counter(g for t in texts for s in [[256] * 4 + list(t.encode()) + [256]] for g in zip(*(s[j:] for j in range(5)), strict=False))
+    model = PlainModel([], 4, 1)
+    for g, n in grams.items():
+        for j in range(5):
+            model.all[j][g[4 - j : 4]][g[4]] += n
+    model.kept = model.all
+    assert len(rows) == 30
+    for d, t in docs[300:]:
+        assert rows[d] == pytest.approx(model.log10(t), rel=1e-9)
