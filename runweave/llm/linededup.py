@@ -14,7 +14,7 @@ of near lines), and whose counts of letters differ by no more than twice that; s
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
 (their lines count once); a null id comes first; a document all of whose long lines went is dropped by
-``deduplicate`` (short lines alone are no content); an empty table gives an empty result; columns of other names
+``deduplicate`` if its short lines are blank or kept elsewhere; an empty table gives an empty result; columns of other names
 are kept as they are. Everything is DataFrame operations.
 """
 
@@ -253,11 +253,29 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return met.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_long.alias("n_long"), F.when(places.isNull(), 0).otherwise(F.size(places)).alias("n_removed"))
 
 
+def _own_lines(docs: DataFrame, gone: DataFrame, min_chars: int) -> DataFrame:
+    """``d, t`` of the documents without a long line left that are kept for a short one, which would be lost otherwise.
+
+    A short line is safe in a document that stays anyway; any other is kept by the first document that holds it.
+    """
+    met, places, every, _ = _met(docs.select("doc_id", "text"), gone)
+    stays = places.isNull() | (F.size(F.filter(every, lambda x: F.length(x) >= min_chars)) > F.size(places))
+    short = F.filter(every, lambda x: (F.length(x) < min_chars) & (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != ""))
+    each = met.select(*_key(), stays.alias("stays"), F.explode(F.array_distinct(short)).alias("line"))
+    bare = cut(_hashed(each.where(~F.col("stays"))).select("d", "t", "h1", "h2"), "bare")
+    safe = _hashed(each.where("stays")).select("h1", "h2").join(bare.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
+    alone = bare.join(cut(safe, "safe"), ["h1", "h2"], "left_anti")
+    return cut(alone.groupBy("h1", "h2").agg(F.min(F.struct("d", "t")).alias("first")).select("first.*").distinct(), "own")
+
+
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with near and equal lines removed; documents that lost all their long lines are dropped."""
-    met, places, every, text = _met(docs, removed_lines(docs, threshold, min_chars))
+    """``docs`` with near and equal lines removed; documents left with nothing but blank lines, or lines kept elsewhere, are dropped."""
+    gone = removed_lines(docs, threshold, min_chars)
+    met, places, every, text = _met(docs, gone)
+    d, t, own = (free_name(docs, n) for n in ("_doc", "_text", "_own"))
+    kept = _own_lines(docs, gone, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.lit(True).alias(own))
     left = F.size(F.filter(every, lambda x: F.length(x) >= min_chars)) - F.size(places)
-    return met.where(places.isNull() | (left > 0)).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return met.join(kept, [d, t], "left").where(places.isNull() | (left > 0) | F.col(own).isNotNull()).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> str:

@@ -91,3 +91,10 @@ def test_long_lines(spark):
 def test_query_equals_its_sql(spark, sf):
     got, want = both(spark, "op5_line_dedup", f"/root/testdata/{sf}")
     assert got == want and got
+
+
+def test_pipeline_form_keeps_documents_of_short_lines(spark):
+    line = "one long header line that many documents of this table share"
+    docs = [(1, f"{line}\nfirst long line of a document that stays anyway\nshared"), (2, f"{line}\na verse\nof its own"), (3, f"{line}\nshared\n \t"), (4, f"{line}\na verse"), (5, f"{line}\nof its own\nand more")]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "a verse\nof its own", 5: "of its own\nand more"}
