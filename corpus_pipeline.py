@@ -26,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each class of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

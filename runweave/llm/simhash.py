@@ -33,6 +33,8 @@ BUDGET = 3
 CROWD = 20_000
 #: Node pairs walked at a time, and leaf pairs below which a node pair is compared outright.
 FRONT, LEAF = 1 << 19, 64
+#: Minhash bands, and values in each: a pair of similarity 0.8 shares none with a chance of 1.3e-7, a closer one with less.
+BANDS, ROWS = 40, 5
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -194,10 +196,82 @@ def links(distinct: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> Data
         dealt, bits = _deal(cut(dealt.join(crowded, "key", "left_semi"), "again"), bits, budget)
 
 
-def classes(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
-    """``fp, component_id`` for every fingerprint of ``fps`` (doc_id, fp), which is read more than once."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a shorter text is one shingle, a blank one has none."""
+    import xxhash
+
+    own = tokens(text)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[i : i + words]), SEED) for i in range(max(1, len(own) - words + 1))], np.uint64)) if own else np.zeros(0, np.uint64)
+
+
+def similar_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, mark, fp`` (a hash of the text's set of shingles), and edges ``a, b`` between sets of at least that Jaccard similarity.
+
+    Candidates share one of ``BANDS`` minhash bands; of those that share one, pairs not yet linked are compared exactly.
+    """
+    rng = np.random.default_rng(SEED)
+    factor = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            fps, bands = [], []
+            for t in batch.column(2).to_pylist():
+                own = shingles(t, words)
+                fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+                for i in range(0, len(own), 512):
+                    least = np.minimum(least, (own[i : i + 512, None] * factor + shift).min(0))
+                bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))] if len(own) else [])
+            signed = pa.array([np.array(b, np.uint64).view(np.int64) for b in bands], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), signed], names=["doc_id", "mark", "fp", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    fps = cut(rows.mapInArrow(made, "doc_id long, mark long, fp long, bands array<long>"), "fps")
+    dealt = fps.select("fp", F.explode("bands").alias("key")).distinct()
+    groups = dealt.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("sign")).where("lo != hi")
+    groups = cut(groups.groupBy("lo", "hi", "n", "sign").agg(F.min("key").alias("key")).select("key"), "groups")  # bands with equal members once
+    members = cut(dealt.join(groups, "key", "left_semi"), "members")
+    named = members.select("fp").distinct().join(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("x")), "fp").select("fp", F.col("x.doc_id").alias("d"), F.col("x.mark").alias("m"))
+    texts = rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").dropDuplicates(["fp"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, fps, root = None, [], [], np.zeros(0, np.int64)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, fp, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != now:
+                    now, sets, fps, root = key, [], [], np.zeros(16, np.int64)
+                own, at = shingles(text, words), len(sets)
+                if at == len(root):
+                    root = np.concatenate([root, np.zeros(at, np.int64)])
+                root[at] = at
+                other = 0
+                while other < at:
+                    a, b = own, sets[other]
+                    if root[other] != root[at] and min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if both >= similarity * (len(a) + len(b) - both):
+                            out.append((fps[other], fp))
+                            low, high = sorted((root[other], root[at]))
+                            root[: at + 1][root[: at + 1] == high] = low
+                    different = np.flatnonzero(root[other + 1 : at] != root[at])  # linked ones need no comparison
+                    other = other + 1 + int(different[0]) if len(different) else at
+                sets.append(own)
+                fps.append(fp)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    met = members.join(cut(texts, "texts"), "fp").select("key", "fp", "text")
+    return fps.drop("bands"), cut(met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "a long, b long").distinct(), "links")
+
+
+def classes(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD, edges: DataFrame | None = None) -> DataFrame:
+    """``fp, component_id`` for every fingerprint of ``fps`` (doc_id, fp), which is read more than once; ``edges``: other links than by bits."""
     least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    roots = components(links(least.select("fp"), budget, crowd))
+    roots = components(links(least.select("fp"), budget, crowd) if edges is None else edges)
     rooted = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     return cut(rooted.join(names, "root").select("fp", "component_id"), "classes")
@@ -209,10 +283,13 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -
     return fps.join(classes(fps, budget), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
-    """One document of each class stays: that of the least id, then of the least text hash; of equal rows one."""
-    fps = cut(fingerprints(docs, words), "fps")
-    best = fps.join(classes(fps, budget), "fp").groupBy("fp", "component_id").agg(F.min(F.struct("doc_id", "mark")).alias("x")).groupBy("component_id").agg(F.min("x").alias("x"))
+def one_of_each(docs: DataFrame, budget: int = BUDGET, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """One document of each class stays: that of the least id, then of the least text hash; of equal rows one.
+
+    With ``similarity``, classes are linked by the Jaccard similarity of shingles in place of fingerprints' bits.
+    """
+    fps, edges = (cut(fingerprints(docs, words), "fps"), None) if similarity is None else similar_links(docs, words, similarity)
+    best = fps.join(classes(fps, budget, edges=edges), "fp").groupBy("fp", "component_id").agg(F.min(F.struct("doc_id", "mark")).alias("x")).groupBy("component_id").agg(F.min("x").alias("x"))
     best = cut(best.select("x.doc_id", "x.mark"), "best")
     copies = fps.join(best, (fps.doc_id.eqNullSafe(best.doc_id)) & (fps.mark == best.mark)).groupBy(best.doc_id, best.mark).agg(F.count("*").alias("copies"))
     copies = cut(copies.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "copies"), "copies")

@@ -96,3 +96,30 @@ def test_odd_rows(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == 3
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_near_copies_of_the_pipeline_stage(spark):
+    """Classes by five-word Jaccard similarity of 0.8, against all pairs; most near copies differ by more than three bits."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    docs = []
+    for size in (30, 60, 200, 400) * 4:
+        base = [f"w{x}" for x in rng.integers(0, 5000, size)]
+        docs.append(base)
+        for edits in (1, size // 60, size // 40, size // 20):
+            new = list(base)
+            for at in rng.choice(size, edits, replace=False):
+                new[at] = f"v{rng.integers(0, 5000)}"
+            docs.append(new)
+    texts = {i: " ".join(d) for i, d in enumerate(docs)} | {900: "", 901: " ", 902: "a b c", 903: "A  b c"}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for d, t in texts.items()}
+    root = {d: d for d in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert len(set(root.values())) < len(texts) - 20
+    assert sorted(r["doc_id"] for r in got) == sorted(set(root.values()))
