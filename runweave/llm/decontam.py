@@ -4,7 +4,7 @@ Benchmark texts are cut into passages of at most ``PASSAGE`` words; their TF-IDF
 frequencies from the whole corpus) get a randomised SVD, whose products with the matrix run as
 Spark aggregates. A window of a document is looked at if it holds ``ANCHORS`` of a passage's rarest
 words: as only a fifth of a passage may be missing, every copy has that many of its anchors (a bound, so
-nothing is lost by it). Such windows are projected, and those of high cosine to the passage are checked word
+nothing is lost by it). Such windows are projected, and checked in the order of their cosine to the passage, every one of them, word
 by word: a longest common subsequence of at least ``SHARE`` of the passage within a span not
 much longer than it, and most of the answer (a text's last words, or what follows its last
 question mark, and its rarest words). A text is leaked into a document if one of its passages is.
@@ -34,8 +34,8 @@ PASSAGE, LEAST, BLOCK = 64, 5, 1024
 ANCHORS = 3
 #: Dimensions kept, extra ones drawn, and power iterations of the SVD.
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-#: Least cosine of a candidate, share of a passage's words in order, and of its answer's words.
-COSINE, SHARE, ANSWER = 0.25, 0.8, 0.6
+#: Share of a passage's words in order, and of its answer's words.
+SHARE, ANSWER = 0.8, 0.6
 #: Words of documents handled in one array.
 CHUNK = 1 << 18
 
@@ -190,7 +190,7 @@ class Index:
                     return True
         return False
 
-    def search(self, texts: list[list[int]], cosine: float = COSINE) -> list[set[int]]:
+    def search(self, texts: list[list[int]]) -> list[set[int]]:
         """The leaked items of each text, given as term numbers."""
         out: list[set[int]] = [set() for _ in texts]
         gap = int(self.span.max(initial=1))
@@ -218,7 +218,8 @@ class Index:
             r, c = np.nonzero(ids)
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             vector = np.add.reduceat(self.latent[ids[r, c]], first, axis=0)  # each row has its anchors
-            like = (vector * self.found[p]).sum(1) >= cosine * np.linalg.norm(vector, axis=1)
+            cosine = (vector * self.found[p]).sum(1) / np.maximum(np.linalg.norm(vector, axis=1), 1e-12)
+            like = np.argsort(-cosine, kind="stable")  # the likeliest windows first; none is left out
             for w, of, row in zip(p[like].tolist(), owner[at[like]].tolist(), ids[like], strict=True):
                 if self.passages[w][0] not in out[of] and self.accepts(w, row.tolist()):
                     out[of].add(self.passages[w][0])
@@ -247,7 +248,7 @@ def build_index(docs: DataFrame, block: list[Passage]) -> Index:
     return Index(vocabulary, idf, (idf[:, None] * basis).astype(np.float32), found.astype(np.float32), own)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the array of leaked items in a last column, ``item_ids`` (underscores added if the name is taken)."""
     spark, name = docs.sparkSession, free_name(docs, "item_ids")
     names, at = docs.columns, docs.columns.index("text")
@@ -267,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
                     size += len(texts[-1]) + 84
                     if size >= CHUNK or i == batch.num_rows - 1:
                         part = batch.slice(begin, i + 1 - begin)
-                        both = [sorted(x | set(h or ())) for x, h in zip(index.search(texts, cosine), held[begin : i + 1], strict=True)]
+                        both = [sorted(x | set(h or ())) for x, h in zip(index.search(texts), held[begin : i + 1], strict=True)]
                         yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(both, pa.list_(pa.int64()))], names=[*names, name])
                         begin, texts, size = i + 1, [], 0
 

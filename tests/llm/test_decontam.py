@@ -118,3 +118,15 @@ def test_odd_rows_and_blocks(spark, monkeypatch, block):
     assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
     assert decontam.leaks(docs.limit(0), bench).count() == 0
     assert decontam.leaks(docs, bench.limit(0)).count() == 6
+
+
+def test_verbatim_copies_of_many_passages(spark):
+    """More passages than the SVD has dimensions, among words of other passages, some of them repeated."""
+    rng = random.Random(9)
+    common, pool = ([f"{c}{i}" for i in range(n)] for c, n in (("c", 60), ("p", 6000)))
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.6 else rng.choice(pool) for _ in range(n)]
+    items = [(i, prose(rng.randint(16, 59))) for i in range(1100)]
+    around = lambda i: prose(100) if i % 2 else [rng.choice(pool)] * 100
+    docs = [(i, " ".join([*around(i), *own, *around(i)])) for i, own in items]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in got if r["doc_id"] not in r["item_ids"]] == []
