@@ -8,8 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder of its own, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: For local sessions that name no folder of their own, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """This application's folder for tables, under the one that driver and executors share; it goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = f"{(base or LOCAL_DIR).rstrip('/')}/runweave/{spark.sparkContext.applicationId}"
+    path, system = _path(spark, own)
+    system.deleteOnExit(path)
+    return own
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
@@ -27,15 +39,15 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     later readers prune columns. Each call takes a folder of its own; nothing is overwritten.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/runweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote to the shared folder, whatever file system that is on. For when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/runweave")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table that ``cut`` wrote in this application. For when no result is read any more."""
+    path, system = _path(spark, shared_dir(spark))
+    system.delete(path, True)
 
 
 def fold(column: str, k: int) -> Column:

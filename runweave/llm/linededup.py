@@ -1,26 +1,29 @@
 """Line dedup by a segment-partition edit join.
 
-A line of at least ``MIN_CHARS`` characters goes if a line within ``THRESHOLD`` edits of it comes
-before it, in the order of document id, then place. Equal lines are found by hash. For unequal ones,
+A line goes if an equal one, or (for lines of at least ``MIN_CHARS`` characters) one within ``THRESHOLD``
+edits of it, comes before it, in the order of document id, then place; blank lines stay. Equal lines are found by hash. For unequal ones,
 each line is split into threshold + 1 segments; at most threshold edits leave one untouched, so
 two near lines share a substring that stands where the shorter line's segmentation has it, up to a
 shift that the edits allow. Keys of (length, segment, substring) are indexed and probed, with the
 shorter line's length in the key; candidates are verified by a banded bit-parallel edit distance.
 
+Lines of which more words differ than the edits can change (by a sketch of 64 parity bits) are not compared.
 A substring that many lines share is not paired out. All its lines are first verified against
-its earliest one, which settles families of near copies in one comparison each. Lines that stay open meet only those
-whose lengths, and distances to two pivot lines, differ by no more than the threshold (the triangle inequality asks that
-of near lines), and whose counts of letters differ by no more than twice that; so nothing is lost.
+its earliest ones, which settles families of near copies in one comparison each. If lines stay open, the key's lines lose
+the beginning and end that all of them share (edit distances do not change by that), are split into twice the threshold of
+segments, and dealt by all segments but those that edits may fall into; what is left to compare is the text of those.
+That is done again while a key stays crowded, on ever shorter texts, so the work follows the number of lines, not of their pairs.
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
-(their lines count once); a null id comes first; a document all of whose long lines went is dropped by
-``deduplicate`` if its short lines are blank or kept elsewhere; an empty table gives an empty result; columns of other names
+(their lines count once); a null id comes first; a document of which nothing but blank lines is left is dropped by
+``deduplicate``; an empty table gives an empty result; columns of other names
 are kept as they are. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +32,14 @@ from .common import cut, free_name, whole
 
 THRESHOLD = 2
 MIN_CHARS = 32
-#: Candidate pairs under one key from which on its lines are not paired out. Cut-off of distances to pivots.
-CROWD, FAR = 64, 24
+#: Pairs under one key up to which its lines are paired out.
+CROWD = 1 << 14
 LINE = ["d", "t", "p"]
-LETTERS = "abcdefghijklmnopqrstuvwxyz "
+BLANKS = " \t\r\x0b\x0c"
+#: Blocks of a line, most of which must stand in a near one.
+BLOCKS = 16
+#: Longest common beginning or end that is looked for at once.
+STEPS = [1 << i for i in range(20, -1, -1)]
 #: Shared keys (8 bytes each) that are broadcast at most, or half the places of removed lines (4 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -41,10 +48,14 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(whole()).alias("t")]
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``d, t`` (the document), ``p`` (place), ``line`` and its length ``n`` of every long line."""
-    each = docs.where(F.length("text") >= min_chars).select(*_key(), F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return each.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) == ""
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """``d, t`` (the document), ``p`` (place), ``line`` and its length ``n`` of every line that is not blank."""
+    each = docs.where(F.length("text") > 0).select(*_key(), F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return each.where(~_blank(F.col("line"))).withColumn("n", F.length("line"))
 
 
 def _hashed(each: DataFrame) -> DataFrame:
@@ -139,9 +150,17 @@ def _bit_parallel(a: Column, b: Column, threshold: int) -> Column:
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
-    """Whether the edit distance of ``a`` and ``b`` is at most ``threshold``: cheap necessary tests, then the distance of what is not shared."""
-    words = _struct(a=F.split(a, " "), b=F.split(b, " "))
-    few = _let(words, lambda w: (F.size(F.array_except(w["a"], w["b"])) <= 2 * threshold) & (F.size(F.array_except(w["b"], w["a"])) <= 2 * threshold))
+    """Whether the edit distance of ``a`` and ``b`` is at most ``threshold``: a necessary test, then the distance of what is not shared.
+
+    Each edit falls into one of ``a``'s blocks at most; the others stand in ``b``, moved by no more than the threshold.
+    """
+    sized = _struct(a=a, b=b, w=F.greatest(F.lit(1), F.floor(F.length(a) / BLOCKS).cast("int")))
+
+    def missing(x: Column, i: Column) -> Column:
+        at = i * x["w"] + 1
+        return ~F.contains(F.substring(x["b"], F.greatest(F.lit(1), at - threshold), x["w"] + 2 * threshold), F.substring(x["a"], at, x["w"]))
+
+    few = _let(sized, lambda x: F.size(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: missing(x, i))) <= threshold)
     tails = _let(_struct(a=a, b=b), _trimmed)
     middles = _let(_let(tails, lambda x: _struct(a=F.reverse(x["a"]), b=F.reverse(x["b"]))), _trimmed)
     distance = _let(middles, lambda x: _bit_parallel(x["a"], x["b"], threshold))
@@ -149,84 +168,117 @@ def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """``b`` of the pairs (a, b; a before b) whose lines are within the threshold."""
-    own = texts.select(F.struct(*LINE).alias("a"), F.col("line").alias("line_a"))
-    other = texts.select(F.struct(*LINE).alias("b"), F.col("line").alias("line_b"))
-    met = pairs.select("a", "b").distinct().join(own, "a").join(other, "b")
-    return met.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("b").distinct()
+    """``first, settled``: b of the pairs (a, b; a before b) whose lines are within the threshold."""
+    own, other = (texts.select(F.col("first").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
+    met = pairs.distinct().join(own, "a").join(other, "b")
+    return met.where(within(F.col("line_a"), F.col("line_b"), threshold)).select(F.col("b").alias("first"), F.lit(True).alias("settled")).distinct()
 
 
-def _letters(line: Column) -> Column:
-    """How often each of a few letters stands in a line: an edit changes two of the counts by one at most."""
-    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c))) for c in LETTERS])
+def _sketch(line: Column) -> Column:
+    """For each of 64 classes of words the parity of their count: an edit changes three bits at most."""
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _by_pivots(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b; a before b, b open) of a key's ``members`` (key, first, open) that cheap facts leave possible.
+def _candidates(posted: DataFrame, threshold: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b; a before b, b open) of ``posted`` (key, probe, first, open, w, done, ...), and the rows of its crowded keys.
 
-    Distances to a line obey the triangle inequality: lines within the threshold of each other differ by no more
-    in their distances (cut off at ``FAR``) to a third one, so lines meet in cells of these distances. Their lengths
-    differ by no more either, and their counts of letters by twice as much in all.
+    All pairs of the other keys whose sketches ``w`` are near, and stars around the earliest lines of crowded ones.
     """
-    own = texts.select(F.struct(*LINE).alias("first"), "line")
-    pivots = members.groupBy("key").agg(F.min("first").alias("p0"), F.max("first").alias("p1"))
-    for i in (0, 1):
-        pivots = pivots.join(own.select(F.col("first").alias(f"p{i}"), F.col("line").alias(f"line{i}")), f"p{i}")
-    far = members.join(own, "first").join(cut(pivots.select("key", "line0", "line1"), "pivots"), "key")
-    distance = [F.levenshtein("line", f"line{i}", FAR) for i in (0, 1)]
-    far = far.select("key", "first", "open", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"), *[F.when(d < 0, FAR + 1).otherwise(d).alias(f"d{i}") for i, d in enumerate(distance)])
-    far, width = cut(far, "distances"), 2 * threshold + 1
-    asked = far.where("open").select("key", F.col("first").alias("b"), F.col("n").alias("m"), F.col("letters").alias("others"), F.col("d0").alias("e0"), F.col("d1").alias("e1"))
-    for i in (0, 1):
-        asked = asked.withColumn(f"c{i}", F.explode(F.sequence(F.floor((F.col(f"e{i}") - threshold) / width), F.floor((F.col(f"e{i}") + threshold) / width))))
-    there = far.select("key", F.col("first").alias("a"), "n", "letters", "d0", "d1", *[F.floor(F.col(f"d{i}") / width).alias(f"c{i}") for i in (0, 1)])
-    near = F.col("a") < F.col("b")
-    for x, y in (("n", "m"), ("d0", "e0"), ("d1", "e1")):
-        near = near & (F.abs(F.col(x) - F.col(y)) <= threshold)
-    apart = F.aggregate(F.zip_with("letters", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    return asked.join(there, (asked["key"] == there["key"]) & (asked["c0"] == there["c0"]) & (asked["c1"] == there["c1"]) & near & (apart <= 2 * threshold)).select("a", "b")
+    indexed = F.when(F.col("probe") == 0, F.col("first"))
+    facts = posted.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("indexed"), F.count("*").alias("n"), F.min("first").alias("least"), F.max("first").alias("last"), F.min(indexed).alias("least_indexed"), F.bool_or("open").alias("any"), F.bool_or("done").alias("done"))
+    size = F.col("indexed") * F.col("n")
+    facts = facts.where("any AND indexed > 0 AND least != last").select("key", (F.col("done") | (size <= crowd)).alias("few"), "least", "least_indexed")
+    sized = cut(posted.drop("done").join(facts, "key"), "sized")
+    few = sized.where("few")
+    index, ask = few.where("probe = 0").select("key", F.col("first").alias("x"), F.col("open").alias("ox"), F.col("w").alias("wx")), few.select("key", F.col("first").alias("y"), F.col("open").alias("oy"), F.col("w").alias("wy"))
+    like = F.bit_count(F.col("wx").bitwiseXOR(F.col("wy"))) <= 3 * threshold
+    pairs = index.join(ask, "key").where(F.expr("(x < y AND oy) OR (y < x AND ox)") & like).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crowded = sized.where("NOT few").drop("few")
+    for center in ("least", "least_indexed"):
+        pairs = pairs.unionByName(crowded.where(F.col("open") & (F.col(center) < F.col("first"))).select(F.col(center).alias("a"), F.col("first").alias("b")))
+    return pairs, crowded.drop("least", "least_indexed")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common beginning of ``a`` and ``b``."""
+    longer = lambda n, step: F.when((n + step <= F.length(a)) & (n + step <= F.length(b)) & (F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step)), n + step).otherwise(n)
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer)
+
+
+def _narrowed(members: DataFrame, threshold: int) -> DataFrame:
+    """``key, probe, first, open, w, r, tiny``: ``members`` (key, first, open, w, r, head, tail) dealt by the segments of r that edits leave alone; r becomes the others.
+
+    ``head`` and ``tail``: the lengths of what all texts of a key begin and end with. ``tiny``: the indexed texts are of the threshold's
+    length at most, so each is near every other, and does not get shorter.
+    """
+    parts = 2 * threshold
+    bare = members.withColumn("r", F.substring("r", F.col("head") + 1, F.length("r") - F.col("head") - F.col("tail")))
+    # by segment, what edits there add to the length (None: no edits): one edit at least in each, so many in all as the threshold allows
+    changes = [c for c in product([None, *range(-threshold, threshold + 1)], repeat=parts) if any(x is not None for x in c) and sum(max(1, abs(x)) for x in c if x is not None) <= threshold and sum(x or 0 for x in c) >= 0]
+    asks = [(sum(x or 0 for x in c), int(any(c)), sum(1 << i for i, x in enumerate(c) if x is not None), [x or 0 for x in c]) for c in changes]
+    table = F.array(*[F.struct(F.lit(delta).alias("delta"), F.lit(probe).alias("probe"), F.lit(mask).alias("mask"), F.array(*map(F.lit, c)).alias("c")) for delta, probe, mask, c in asks])
+    asked = bare.withColumn("x", F.explode(table)).withColumn("m", F.length("r") - F.col("x.delta")).where("m >= 0")
+    base, odd = F.floor(F.col("m") / parts).cast("int"), F.col("m") % parts
+    begin, length, same, other, sound = F.lit(0), F.lit(0), [], [], F.lit(True)
+    for i in range(parts):
+        own = base + F.when(odd >= parts - i, 1).otherwise(0)
+        size = own + F.get("x.c", F.lit(i))
+        touched, piece = F.col("x.mask").bitwiseAND(F.lit(1 << i)) != 0, F.substring("r", begin + 1, size)
+        same.append(F.when(~touched, piece))
+        other.append(F.when(touched, piece).otherwise(""))
+        sound, begin, length = sound & (size >= 0), begin + size, length + F.when(touched, own).otherwise(0)
+    return asked.where(sound).select(F.xxhash64("key", "m", "x.mask", *same).alias("key"), F.col("x.probe").alias("probe"), "first", "open", "w", F.concat(*other).alias("r"), (length <= threshold).alias("tiny"))
+
+
+def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: int, crowd: int) -> DataFrame:
+    """``near`` (first, settled) and the lines near an earlier one that only ``crowded`` keys show."""
+    own = texts.select("first", F.col("line").alias("r"))
+    members = crowded.select("key", "probe", "first", "w").join(own, "first").withColumn("tiny", F.lit(False))
+    while True:
+        members = cut(members.drop("open").join(near, "first", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "members")
+        # the first and the last text in order share what all of them begin with
+        sums = [f("first").alias(n) for f, n in ((F.min, "least"), (F.max, "last"))] + [f(x).alias(n) for x, m in ((F.col("r"), ""), (F.reverse("r"), "_")) for f, n in ((F.min, f"lo{m}"), (F.max, f"hi{m}"))]
+        busy = members.groupBy("key").agg(F.bool_or("open").alias("any"), F.min(F.length("r")).alias("short"), *sums).where("any AND least != last")
+        busy = busy.withColumn("head", _common(F.col("lo"), F.col("hi"))).select("key", "head", F.least(_common(F.col("lo_"), F.col("hi_")), F.col("short") - F.col("head")).alias("tail"))
+        busy = cut(busy, "busy")
+        if busy.isEmpty():
+            return near
+        members = members.join(busy, "key")
+        again = members.where("tiny").select("key", "probe", "first", "open", "w", "r", "tiny", F.lit(True).alias("done"))
+        posted = _narrowed(members.where("NOT tiny"), threshold).withColumn("done", F.lit(False)).unionByName(again)
+        pairs, members = _candidates(cut(posted, "posted"), threshold, crowd)
+        near = cut(near.unionByName(_later(pairs, texts, threshold)).distinct(), "near")
 
 
 def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """``b``: first occurrences (struct d, t, p) with a near, unequal line before them.
+    """``first, settled``: first occurrences (struct d, t, p) with a near, unequal line before them.
 
     ``each``: hashed lines; ``firsts``: ``h1, h2, first`` of the distinct ones.
     """
     facts = keys(each.select("h1", "n", "line"), threshold).groupBy("key").agg(F.min("probe").alias("probe"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
     shared = cut(facts.where("probe = 0 AND lo != hi").select("key"), "shared")
-    own = firsts.select("h1", "h2", "first")
+    own, same = firsts.select("h1", "h2", "first"), ["h1", "h2"]
     if shared.count() <= BROADCAST:  # the lines come along, and need not be read again
         met = cut(keys(each.select("h1", "h2", "n", "line"), threshold).join(F.broadcast(shared), "key").select("key", "probe", "h1", "h2", "line"), "met")
-        texts = cut(met.dropDuplicates(["h1", "h2"]).join(own, ["h1", "h2"]).select("first.*", "line"), "texts")
+        texts = met.dropDuplicates(same).join(own, same).select("h1", "h2", "first", "line")
     else:
-        met = keys(each.select("h1", "h2", "n", "line"), threshold).select("key", "probe", "h1", "h2").join(shared, "key")
-        texts = None
-    posted = cut(met.groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe")).join(own, ["h1", "h2"]).select("key", "probe", "first"), "posted")
-    if texts is None:
-        texts = cut(each.select(*LINE, "line").join(posted.select(F.col("first.*")).distinct(), LINE).dropDuplicates(LINE), "texts")
-    sizes = posted.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("indexed"), F.count("*").alias("n"), F.min("first").alias("least"))
-    sized = cut(posted.join(cut(sizes, "sizes"), "key"), "sized")
-    few = sized.where(F.col("indexed") * F.col("n") <= crowd)
-    many = sized.where(F.col("indexed") * F.col("n") > crowd)
-    index, ask = few.where("probe = 0").select("key", F.col("first").alias("x")), few.select("key", F.col("first").alias("y"))
-    pairs = index.join(ask, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    stars = many.where("first != least").select(F.col("least").alias("a"), F.col("first").alias("b"))
-    near = cut(_later(pairs.unionByName(stars), texts, threshold), "near")
-    settled = near.select(F.col("b").alias("first"), F.lit(True).alias("settled"))
-    members = many.join(settled, "first", "left").select("key", "first", (F.col("settled").isNull() & (F.col("first") != F.col("least"))).alias("open"))
-    members = cut(members, "members")
-    busy = cut(members.where("open").select("key").distinct(), "busy")
-    rest = _later(_by_pivots(members.join(busy, "key"), texts, threshold), texts, threshold)
-    return near.unionByName(cut(rest, "near")).distinct()
+        met = cut(keys(each.select("h1", "h2", "n", "line"), threshold).select("key", "probe", "h1", "h2").join(shared, "key"), "met")
+        named = met.select("h1", "h2").distinct().join(own, same).select("h1", "h2", "first")
+        texts = each.select(F.struct(*LINE).alias("first"), "line").dropDuplicates(["first"]).join(named, "first").select("h1", "h2", "first", "line")
+    texts = cut(texts.withColumn("w", _sketch(F.col("line"))), "texts")
+    posted = met.groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe")).join(texts.select("h1", "h2", "first", "w"), same)
+    posted = cut(posted.select("key", "probe", "first", F.lit(True).alias("open"), "w", F.lit(False).alias("done")), "posted")
+    pairs, crowded = _candidates(posted, threshold, crowd)
+    return _crowded(crowded, texts, cut(_later(pairs, texts, threshold), "near"), threshold, crowd)
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """``d, t, removed`` (array of places) for the documents that lose lines."""
-    each = _hashed(lines(docs, min_chars))
+    each = _hashed(lines(docs))
     places = cut(each.select(*LINE, "h1", "h2"), "places")
     firsts = cut(places.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")), "firsts")
-    near = near_lines(each, firsts, threshold, crowd).select(F.col("b").alias("first"), F.lit(True).alias("near"))
-    marks = firsts.join(cut(near, "near"), "first", "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near = near_lines(each.where(F.col("n") >= min_chars), firsts, threshold, crowd)
+    marks = firsts.join(near, "first", "left").where("n > 1 OR settled").select("h1", "h2", "first", F.coalesce("settled", F.lit(False)).alias("near"))
     gone = places.join(cut(marks, "marks"), ["h1", "h2"]).where(F.col("near") | (F.struct(*LINE) != F.col("first")))
     return cut(gone.select(*LINE).distinct().groupBy("d", "t").agg(F.collect_list("p").alias("removed")), "removed")
 
@@ -253,37 +305,19 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return met.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_long.alias("n_long"), F.when(places.isNull(), 0).otherwise(F.size(places)).alias("n_removed"))
 
 
-def _own_lines(docs: DataFrame, gone: DataFrame, min_chars: int) -> DataFrame:
-    """``d, t`` of the documents without a long line left that are kept for a short one, which would be lost otherwise.
-
-    A short line is safe in a document that stays anyway; any other is kept by the first document that holds it.
-    """
-    met, places, every, _ = _met(docs.select("doc_id", "text"), gone)
-    stays = places.isNull() | (F.size(F.filter(every, lambda x: F.length(x) >= min_chars)) > F.size(places))
-    short = F.filter(every, lambda x: (F.length(x) < min_chars) & (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != ""))
-    each = met.select(*_key(), stays.alias("stays"), F.explode(F.array_distinct(short)).alias("line"))
-    bare = cut(_hashed(each.where(~F.col("stays"))).select("d", "t", "h1", "h2"), "bare")
-    safe = _hashed(each.where("stays")).select("h1", "h2").join(bare.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
-    alone = bare.join(cut(safe, "safe"), ["h1", "h2"], "left_anti")
-    return cut(alone.groupBy("h1", "h2").agg(F.min(F.struct("d", "t")).alias("first")).select("first.*").distinct(), "own")
-
-
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with near and equal lines removed; documents left with nothing but blank lines, or lines kept elsewhere, are dropped."""
-    gone = removed_lines(docs, threshold, min_chars)
-    met, places, every, text = _met(docs, gone)
-    d, t, own = (free_name(docs, n) for n in ("_doc", "_text", "_own"))
-    kept = _own_lines(docs, gone, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.lit(True).alias(own))
-    left = F.size(F.filter(every, lambda x: F.length(x) >= min_chars)) - F.size(places)
-    return met.join(kept, [d, t], "left").where(places.isNull() | (left > 0) | F.col(own).isNotNull()).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with near and equal lines removed; documents left with nothing but blank lines are dropped."""
+    met, places, every, text = _met(docs, removed_lines(docs, threshold, min_chars))
+    left = F.size(F.filter(every, lambda x: ~_blank(x))) - F.size(places)
+    return met.where(places.isNull() | (left > 0)).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> str:
-    """DuckDB SQL for the query's rows: all lines of about equal length compared outright."""
+    """DuckDB SQL for the query's rows: all long lines of about equal length compared outright."""
     return f"""
-WITH l AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents) WHERE length(line) >= {min_chars}),
+WITH l AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents) WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) != ''),
 f AS (SELECT line, length(line) AS n, min((doc_id, p)) AS first FROM l GROUP BY line),
-near AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n BETWEEN b.n - {threshold} AND b.n + {threshold} AND a.first < b.first AND a.line != b.line AND levenshtein(a.line, b.line) <= {threshold}),
+near AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n >= {min_chars} AND b.n >= {min_chars} AND a.n BETWEEN b.n - {threshold} AND b.n + {threshold} AND a.first < b.first AND a.line != b.line AND levenshtein(a.line, b.line) <= {threshold}),
 gone AS (SELECT l.doc_id, l.p FROM l JOIN f ON l.line = f.line WHERE f.first != (l.doc_id, l.p) OR l.line IN (SELECT line FROM near)),
 per AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INTEGER AS n_lines, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: length(x) >= {min_chars})), 0)::INTEGER AS n_long, coalesce(len(per.places), 0)::INTEGER AS n_removed,

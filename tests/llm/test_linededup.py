@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ def edited(rng, line, edits, alphabet="abé ç"):
 
 
 def brute(docs, threshold, min_chars):
-    """Kept text of every row: a long line goes if a near one is before it."""
-    seen = sorted({((-(2**63) if d is None else d), t, p, line) for d, t in docs if t for p, line in enumerate(t.split("\n")) if len(line) >= min_chars}, key=lambda x: (x[0], x[2]))
-    gone = {(d, t, p) for i, (d, t, p, line) in enumerate(seen) if any(abs(len(line) - len(o[3])) <= threshold and distance(line, o[3]) <= threshold for o in seen[:i])}
+    """Kept text of every row: a line goes if an equal one, or a near one of two long ones, is before it."""
+    seen = sorted({((-(2**63) if d is None else d), t, p, line) for d, t in docs if t for p, line in enumerate(t.split("\n")) if line.strip(" \t\r\x0b\x0c")}, key=lambda x: (x[0], x[2]))
+    near = lambda a, b: a == b or min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold
+    gone = {(d, t, p) for i, (d, t, p, line) in enumerate(seen) if any(near(line, o[3]) for o in seen[:i])}
     return [(d, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if ((-(2**63) if d is None else d), t, p) not in gone)) for d, t in docs]
 
 
@@ -57,7 +59,7 @@ def family(rng, n, size, edits):
     return [edited(rng, b, rng.randint(0, edits)) for b in base for _ in range(size)]
 
 
-@pytest.mark.parametrize("threshold,crowd", [(1, 400), (2, 400), (2, 3), (3, 6), (2, 0)])
+@pytest.mark.parametrize("threshold,crowd", [(1, 400), (2, 400), (2, 30), (3, 400)])
 def test_against_brute_force(spark, threshold, crowd):
     rng = random.Random(crowd)
     pool = family(rng, 8, 6, threshold + 1) + family(rng, 1, 12, 2 * threshold + 2)
@@ -75,7 +77,7 @@ def test_pipeline_form_keeps_columns_and_drops_emptied_documents(spark):
     df = spark.createDataFrame(docs, SCHEMA)
     got = linededup.deduplicate(df)
     assert got.columns == df.columns and got.schema == df.schema
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: docs[0][1], 4: "short", 5: None, 6: "something else that is long enough to stay here"}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: docs[0][1], 3: "short", 5: None, 6: "something else that is long enough to stay here"}
     assert linededup.deduplicate(df.limit(0)).count() == 0
 
 
@@ -93,8 +95,45 @@ def test_query_equals_its_sql(spark, sf):
     assert got == want and got
 
 
-def test_pipeline_form_keeps_documents_of_short_lines(spark):
+def test_short_lines_and_documents_of_them(spark):
     line = "one long header line that many documents of this table share"
-    docs = [(1, f"{line}\nfirst long line of a document that stays anyway\nshared"), (2, f"{line}\na verse\nof its own"), (3, f"{line}\nshared\n \t"), (4, f"{line}\na verse"), (5, f"{line}\nof its own\nand more")]
+    docs = [(1, f"{line}\nfirst long line of a document that stays anyway\nshared"), (2, f"{line}\na verse\nof its own"), (3, f"{line}\nshared\n \t"), (4, f"{line}\na verse"), (5, f"{line}\nof its own\nand more"), (6, " \n\t\r"), (7, " \n\t\r")]
     got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {1: docs[0][1], 2: "a verse\nof its own", 5: "of its own\nand more"}
+    assert got == {1: docs[0][1], 2: "a verse\nof its own", 5: "and more", 6: docs[5][1], 7: docs[6][1]}
+
+
+def removed(spark, lines, **how):
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r["doc_id"] for r in linededup.dedup_lines(df, **how).where("n_removed > 0").collect()}
+
+
+def test_many_keys_take_the_other_plan(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST", -1)
+    test_against_brute_force(spark, 2, 30)
+
+
+def test_crowded_keys_against_brute_force(spark):
+    """Families of lines that differ in a few places of a text that all of them share, near ones among them."""
+    rng = random.Random(2)
+    code = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    lines = []
+    for size in (60, 63, 66, 69, 72, 75):
+        same = code(size, "abcdefg hij")
+        make = {
+            60: lambda: same + code(14), 63: lambda: code(14) + same, 66: lambda: same[:30] + code(9) + same[30:],
+            69: lambda: code(5) + same + code(5), 72: lambda: same + code(4, "01234"), 75: lambda: "x" * rng.randint(0, 3) + same + code(6, "01"),
+        }[size]
+        own = [make() for _ in range(100)]
+        lines += [edited(rng, rng.choice(own), rng.randint(1, 3)) if rng.random() < 0.3 else x for x in own]
+    want = {d for (d, t), (_, kept) in zip(enumerate(lines), brute(list(enumerate(lines)), 2, 32), strict=True) if kept != t}
+    assert removed(spark, lines, crowd=200) == want and want
+
+
+def test_a_beginning_of_many_lines_takes_linear_time(spark):
+    rng = random.Random(3)
+    head = "Every one of these lines has this beginning "
+    lines = [head + "".join(rng.choices("0123456789abcdef", k=64)) for _ in range(50_000)]
+    lines += [edited(rng, lines[i], 2, "xyz") for i in range(0, 50_000, 1000)]
+    begin = time.perf_counter()
+    assert removed(spark, lines) == set(range(50_000, 50_050))
+    assert time.perf_counter() - begin < 150
