@@ -23,7 +23,7 @@ are kept as they are. Everything is DataFrame operations.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,21 +213,27 @@ def _narrowed(members: DataFrame, threshold: int) -> DataFrame:
     """
     parts = 2 * threshold
     bare = members.withColumn("r", F.substring("r", F.col("head") + 1, F.length("r") - F.col("head") - F.col("tail")))
-    # by segment, what edits there add to the length (None: no edits): one edit at least in each, so many in all as the threshold allows
-    changes = [c for c in product([None, *range(-threshold, threshold + 1)], repeat=parts) if any(x is not None for x in c) and sum(max(1, abs(x)) for x in c if x is not None) <= threshold and sum(x or 0 for x in c) >= 0]
-    asks = [(sum(x or 0 for x in c), int(any(c)), sum(1 << i for i, x in enumerate(c) if x is not None), [x or 0 for x in c]) for c in changes]
-    table = F.array(*[F.struct(F.lit(delta).alias("delta"), F.lit(probe).alias("probe"), F.lit(mask).alias("mask"), F.array(*map(F.lit, c)).alias("c")) for delta, probe, mask, c in asks])
-    asked = bare.withColumn("x", F.explode(table)).withColumn("m", F.length("r") - F.col("x.delta")).where("m >= 0")
+    # the segments that edits fall into, with what those add to the length: one edit at least in each, so many in all as the threshold allows
+    asks = [(ids, own) for k in range(1, parts) for ids in combinations(range(parts), k) for own in product(range(-threshold, threshold + 1), repeat=k) if sum(max(1, abs(c)) for c in own) <= threshold and sum(own) >= 0]
+    spare = [(parts, 0)] * threshold
+    table = F.array(*[F.struct(F.lit(sum(own)).alias("delta"), F.lit(int(any(own))).alias("probe"), F.lit(sum(1 << i for i in ids)).alias("mask"), *[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")).alias(f"e{t}") for t, (i, c) in enumerate([*zip(ids, own, strict=True), *spare][:threshold])]) for ids, own in asks])
+    asked = bare.withColumn("x", F.explode(table)).select("key", "first", "open", "w", "r", "x.*", (F.length("r") - F.col("x.delta")).alias("m")).where("m >= 0")
     base, odd = F.floor(F.col("m") / parts).cast("int"), F.col("m") % parts
-    begin, length, same, other, sound = F.lit(0), F.lit(0), [], [], F.lit(True)
-    for i in range(parts):
-        own = base + F.when(odd >= parts - i, 1).otherwise(0)
-        size = own + F.get("x.c", F.lit(i))
-        touched, piece = F.col("x.mask").bitwiseAND(F.lit(1 << i)) != 0, F.substring("r", begin + 1, size)
-        same.append(F.when(~touched, piece))
-        other.append(F.when(touched, piece).otherwise(""))
-        sound, begin, length = sound & (size >= 0), begin + size, length + F.when(touched, own).otherwise(0)
-    return asked.where(sound).select(F.xxhash64("key", "m", "x.mask", *same).alias("key"), F.col("x.probe").alias("probe"), "first", "open", "w", F.concat(*other).alias("r"), (length <= threshold).alias("tiny"))
+
+    def begin(i: Column) -> Column:
+        return F.least(F.col("m"), i * base + F.greatest(F.lit(0), i - parts + odd))
+
+    moved, length, sound, cuts = F.lit(0), F.lit(0), F.lit(True), []
+    for t in range(threshold):
+        i, c = F.col(f"e{t}.i"), F.col(f"e{t}.c")
+        own = begin(i + 1) - begin(i)
+        cuts.append((begin(i) + moved + 1, own + c))
+        moved, length, sound = moved + c, length + own, sound & (own + c >= 0)
+    left = F.col("r")
+    for at, size in reversed(cuts):
+        left = F.overlay(left, F.lit(""), at, size)
+    other = F.concat(*[F.substring("r", at, size) for at, size in cuts])
+    return asked.where(sound).select(F.xxhash64("key", "m", "mask", left).alias("key"), "probe", "first", "open", "w", other.alias("r"), (length <= threshold).alias("tiny"))
 
 
 def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: int, crowd: int) -> DataFrame:
@@ -235,7 +241,8 @@ def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: i
     own = texts.select("first", F.col("line").alias("r"))
     members = crowded.select("key", "probe", "first", "w").join(own, "first").withColumn("tiny", F.lit(False))
     while True:
-        members = cut(members.drop("open").join(near, "first", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "members")
+        members = members.drop("open").join(near, "first", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+        members = cut(members.repartition("first"), "members")  # not by key: one key may have most of the lines
         # the first and the last text in order share what all of them begin with
         sums = [f("first").alias(n) for f, n in ((F.min, "least"), (F.max, "last"))] + [f(x).alias(n) for x, m in ((F.col("r"), ""), (F.reverse("r"), "_")) for f, n in ((F.min, f"lo{m}"), (F.max, f"hi{m}"))]
         busy = members.groupBy("key").agg(F.bool_or("open").alias("any"), F.min(F.length("r")).alias("short"), *sums).where("any AND least != last")
@@ -246,7 +253,9 @@ def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: i
         members = members.join(busy, "key")
         again = members.where("tiny").select("key", "probe", "first", "open", "w", "r", "tiny", F.lit(True).alias("done"))
         posted = _narrowed(members.where("NOT tiny"), threshold).withColumn("done", F.lit(False)).unionByName(again)
-        pairs, members = _candidates(cut(posted, "posted"), threshold, crowd)
+        posted = cut(posted, "posted")
+        shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probe"), F.bool_or("open").alias("any")).where("n > 1 AND probe = 0 AND any")
+        pairs, members = _candidates(posted.join(cut(shared.select("key"), "shared"), "key", "left_semi"), threshold, crowd)
         near = cut(near.unionByName(_later(pairs, texts, threshold)).distinct(), "near")
 
 

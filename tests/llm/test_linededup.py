@@ -132,8 +132,8 @@ def test_crowded_keys_against_brute_force(spark):
 def test_a_beginning_of_many_lines_takes_linear_time(spark):
     rng = random.Random(3)
     head = "Every one of these lines has this beginning "
-    lines = [head + "".join(rng.choices("0123456789abcdef", k=64)) for _ in range(50_000)]
-    lines += [edited(rng, lines[i], 2, "xyz") for i in range(0, 50_000, 1000)]
+    lines = [head + "".join(rng.choices("0123456789abcdef", k=64)) for _ in range(20_000)]
+    lines += [edited(rng, lines[i], 2, "xyz") for i in range(0, 20_000, 1000)]
     begin = time.perf_counter()
-    assert removed(spark, lines) == set(range(50_000, 50_050))
-    assert time.perf_counter() - begin < 150
+    assert removed(spark, lines) == set(range(20_000, 20_020))
+    assert time.perf_counter() - begin < 90
