@@ -7,12 +7,13 @@ two near lines share a substring that stands where the shorter line's segmentati
 shift that the edits allow. Keys of (length, segment, substring) are indexed and probed, with the
 shorter line's length in the key; candidates are verified by a banded bit-parallel edit distance.
 
-Lines of which more words differ than the edits can change (by a sketch of 64 parity bits) are not compared.
+Lines of which more words, or letters, differ than the edits can change (by sketches of parity bits) are not compared.
 A substring that many lines share is not paired out. All its lines are first verified against
-its earliest ones, which settles families of near copies in one comparison each. If lines stay open, the key's lines lose
+its earliest ones, which settles families of near copies in one comparison each. Lines that stay open meet only those
+whose lengths, and distances to two pivot lines, differ by no more than the threshold (the triangle inequality asks that
+of near lines). Where too many lines are alike in that as well, they lose
 the beginning and end that all of them share (edit distances do not change by that), are split into twice the threshold of
 segments, and dealt by all segments but those that edits may fall into; what is left to compare is the text of those.
-That is done again while a key stays crowded, on ever shorter texts, so the work follows the number of lines, not of their pairs.
 
 Results by case: a null or empty text has no line to remove; rows equal in id and text are treated alike
 (their lines count once); a null id comes first; a document of which nothing but blank lines is left is dropped by
@@ -32,8 +33,9 @@ from .common import cut, free_name, whole
 
 THRESHOLD = 2
 MIN_CHARS = 32
-#: Pairs under one key up to which its lines are paired out.
-CROWD = 1 << 14
+#: Pairs under one key up to which its lines are paired out. Lines of a cell of pivot distances from which on it is dealt again. Cut-off of distances.
+CROWD, CELL, FAR = 1 << 14, 2048, 24
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 LINE = ["d", "t", "p"]
 BLANKS = " \t\r\x0b\x0c"
 #: Blocks of a line, most of which must stand in a near one.
@@ -175,8 +177,16 @@ def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _sketch(line: Column) -> Column:
-    """For each of 64 classes of words the parity of their count: an edit changes three bits at most."""
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
+    """For each of 64 classes of words, and of a few letters, the parity of their count: an edit changes three of the words' bits at most, and two of the letters'."""
+    words = F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
+    bits = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1)).cast("long"), i) for i, c in enumerate(LETTERS)]
+    return _struct(words=words, letters=sum(bits[1:], bits[0]))
+
+
+def _like(x: Column, y: Column, threshold: int) -> Column:
+    """Whether two lines' sketches leave it possible that they are near."""
+    apart = {n: F.bit_count(x[n].bitwiseXOR(y[n])) for n in ("words", "letters")}
+    return (apart["words"] <= 3 * threshold) & (apart["letters"] <= 2 * threshold)
 
 
 def _candidates(posted: DataFrame, threshold: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +201,7 @@ def _candidates(posted: DataFrame, threshold: int, crowd: int) -> tuple[DataFram
     sized = cut(posted.drop("done").join(facts, "key"), "sized")
     few = sized.where("few")
     index, ask = few.where("probe = 0").select("key", F.col("first").alias("x"), F.col("open").alias("ox"), F.col("w").alias("wx")), few.select("key", F.col("first").alias("y"), F.col("open").alias("oy"), F.col("w").alias("wy"))
-    like = F.bit_count(F.col("wx").bitwiseXOR(F.col("wy"))) <= 3 * threshold
+    like = _like(F.col("wx"), F.col("wy"), threshold)
     pairs = index.join(ask, "key").where(F.expr("(x < y AND oy) OR (y < x AND ox)") & like).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     crowded = sized.where("NOT few").drop("few")
     for center in ("least", "least_indexed"):
@@ -236,30 +246,54 @@ def _narrowed(members: DataFrame, threshold: int) -> DataFrame:
     return asked.where(sound).select(F.xxhash64("key", "m", "mask", left).alias("key"), "probe", "first", "open", "w", other.alias("r"), (length <= threshold).alias("tiny"))
 
 
-def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: int, crowd: int) -> DataFrame:
+def _by_pivots(members: DataFrame, threshold: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b; b open) of ``members`` (key, first, open, w, r) that their distances to two of a key's texts leave possible, and the members of the cells that hold too many, each under a key of its own."""
+    pivots = members.groupBy("key").agg(F.min_by("r", "first").alias("r0"), F.max_by("r", "first").alias("r1"))
+    far = members.join(cut(pivots, "pivots"), "key")
+    distance = [F.levenshtein("r", f"r{i}", FAR) for i in (0, 1)]
+    far = far.select("key", "first", "open", "w", "r", F.length("r").alias("n"), *[((d + FAR + 2) % (FAR + 2)).alias(f"d{i}") for i, d in enumerate(distance)])  # -1, too far, is the last
+    far, width = cut(far, "distances"), 2 * threshold + 1
+    at = [F.floor(F.col(f"d{i}") / width) for i in (0, 1)]
+    there = far.withColumn("cell", F.xxhash64("key", *at))
+    around = [F.sequence(F.floor((F.col(f"d{i}") - threshold) / width), F.floor((F.col(f"d{i}") + threshold) / width)) for i in (0, 1)]
+    asked = far.where("open").withColumn("c0", F.explode(around[0])).withColumn("c1", F.explode(around[1])).withColumn("cell", F.xxhash64("key", "c0", "c1"))
+    full = cut(there.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("cell"), "full")
+    x = there.join(full, "cell", "left_anti").select("cell", F.col("first").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "w", "d0", "d1")])
+    y = asked.select("cell", F.col("first").alias("b"), "n", "w", "d0", "d1")
+    near = (F.col("a") < F.col("b")) & _like(F.col("w"), F.col("w_a"), threshold)
+    for c in ("n", "d0", "d1"):
+        near = near & (F.abs(F.col(c) - F.col(f"{c}_a")) <= threshold)
+    pairs = y.join(x, "cell").where(near).select("a", "b")
+    rest = there.select("cell", "first", "open", "w", "r").unionByName(asked.select("cell", "first", "open", "w", "r")).join(full, "cell", "left_semi")
+    return pairs, rest.withColumnRenamed("cell", "key").dropDuplicates(["key", "first"])
+
+
+def _crowded(crowded: DataFrame, texts: DataFrame, near: DataFrame, threshold: int, crowd: int, cell: int) -> DataFrame:
     """``near`` (first, settled) and the lines near an earlier one that only ``crowded`` keys show."""
     own = texts.select("first", F.col("line").alias("r"))
     members = crowded.select("key", "probe", "first", "w").join(own, "first").withColumn("tiny", F.lit(False))
     while True:
         members = members.drop("open").join(near, "first", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
         members = cut(members.repartition("first"), "members")  # not by key: one key may have most of the lines
-        # the first and the last text in order share what all of them begin with
-        sums = [f("first").alias(n) for f, n in ((F.min, "least"), (F.max, "last"))] + [f(x).alias(n) for x, m in ((F.col("r"), ""), (F.reverse("r"), "_")) for f, n in ((F.min, f"lo{m}"), (F.max, f"hi{m}"))]
-        busy = members.groupBy("key").agg(F.bool_or("open").alias("any"), F.min(F.length("r")).alias("short"), *sums).where("any AND least != last")
-        busy = busy.withColumn("head", _common(F.col("lo"), F.col("hi"))).select("key", "head", F.least(_common(F.col("lo_"), F.col("hi_")), F.col("short") - F.col("head")).alias("tail"))
-        busy = cut(busy, "busy")
-        if busy.isEmpty():
+        busy = members.groupBy("key").agg(F.bool_or("open").alias("any"), F.min("first").alias("least"), F.max("first").alias("last")).where("any AND least != last")
+        members = members.join(cut(busy.select("key"), "busy"), "key", "left_semi")
+        if members.isEmpty():
             return near
-        members = members.join(busy, "key")
+        pairs, rest = _by_pivots(members.where("NOT tiny").select("key", "first", "open", "w", "r").dropDuplicates(["key", "first", "r"]), threshold, cell)
         again = members.where("tiny").select("key", "probe", "first", "open", "w", "r", "tiny", F.lit(True).alias("done"))
-        posted = _narrowed(members.where("NOT tiny"), threshold).withColumn("done", F.lit(False)).unionByName(again)
+        rest = cut(rest, "rest")
+        # the first and the last text in order share what all of them begin with
+        ends = [f(x).alias(n + m) for x, m in ((F.col("r"), ""), (F.reverse("r"), "_")) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        ends = rest.groupBy("key").agg(F.min(F.length("r")).alias("short"), *ends).withColumn("head", _common(F.col("lo"), F.col("hi")))
+        ends = ends.select("key", "head", F.least(_common(F.col("lo_"), F.col("hi_")), F.col("short") - F.col("head")).alias("tail"))
+        posted = _narrowed(rest.join(cut(ends, "ends"), "key"), threshold).withColumn("done", F.lit(False)).unionByName(again)
         posted = cut(posted, "posted")
         shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("probe"), F.bool_or("open").alias("any")).where("n > 1 AND probe = 0 AND any")
-        pairs, members = _candidates(posted.join(cut(shared.select("key"), "shared"), "key", "left_semi"), threshold, crowd)
-        near = cut(near.unionByName(_later(pairs, texts, threshold)).distinct(), "near")
+        more, members = _candidates(posted.join(cut(shared.select("key"), "shared"), "key", "left_semi"), threshold, crowd)
+        near = cut(near.unionByName(_later(pairs.unionByName(more), texts, threshold)).distinct(), "near")
 
 
-def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
     """``first, settled``: first occurrences (struct d, t, p) with a near, unequal line before them.
 
     ``each``: hashed lines; ``firsts``: ``h1, h2, first`` of the distinct ones.
@@ -278,15 +312,15 @@ def near_lines(each: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, c
     posted = met.groupBy("key", "h1", "h2").agg(F.min("probe").alias("probe")).join(texts.select("h1", "h2", "first", "w"), same)
     posted = cut(posted.select("key", "probe", "first", F.lit(True).alias("open"), "w", F.lit(False).alias("done")), "posted")
     pairs, crowded = _candidates(posted, threshold, crowd)
-    return _crowded(crowded, texts, cut(_later(pairs, texts, threshold), "near"), threshold, crowd)
+    return _crowded(crowded, texts, cut(_later(pairs, texts, threshold), "near"), threshold, crowd, cell)
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
     """``d, t, removed`` (array of places) for the documents that lose lines."""
     each = _hashed(lines(docs))
     places = cut(each.select(*LINE, "h1", "h2"), "places")
     firsts = cut(places.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")), "firsts")
-    near = near_lines(each.where(F.col("n") >= min_chars), firsts, threshold, crowd)
+    near = near_lines(each.where(F.col("n") >= min_chars), firsts, threshold, crowd, cell)
     marks = firsts.join(near, "first", "left").where("n > 1 OR settled").select("h1", "h2", "first", F.coalesce("settled", F.lit(False)).alias("near"))
     gone = places.join(cut(marks, "marks"), ["h1", "h2"]).where(F.col("near") | (F.struct(*LINE) != F.col("first")))
     return cut(gone.select(*LINE).distinct().groupBy("d", "t").agg(F.collect_list("p").alias("removed")), "removed")
@@ -306,9 +340,9 @@ def _met(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, Column, Column, C
     return met, places, every, F.when(places.isNull(), F.col("text")).otherwise(_let(every, without))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
     """``doc_id, text`` (without the removed lines), ``n_lines, n_long, n_removed`` of every row."""
-    met, places, every, text = _met(docs.select("doc_id", "text"), removed_lines(docs, threshold, min_chars, crowd))
+    met, places, every, text = _met(docs.select("doc_id", "text"), removed_lines(docs, threshold, min_chars, crowd, cell))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
     n_long = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(every, lambda x: F.length(x) >= min_chars)))
     return met.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), n_long.alias("n_long"), F.when(places.isNull(), 0).otherwise(F.size(places)).alias("n_removed"))
