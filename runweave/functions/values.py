@@ -51,7 +51,8 @@ def log_like(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
 UNARY: dict[str, Callable[[Column], Column]] = {
     "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "expm1": F.expm1, "absolute": F.abs, "floor": lambda v: F.when(F.isnan(v) | (F.abs(v) == INF), v).otherwise(F.floor(v).cast("double")),
     "ceil": lambda v: F.when(F.isnan(v) | (F.abs(v) == INF), v).otherwise(F.ceil(v).cast("double")), "rint": F.rint, "sign": F.signum, "sin": F.sin, "cos": F.cos, "tan": F.tan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
-    "arctan": F.atan, "square": lambda v: v * v, "negative": lambda v: -v, "log": log_like(F.log), "log2": log_like(F.log2), "log10": log_like(F.log10), "log1p": lambda v: log_like(F.log)(v + 1.0), "isnan": lambda v: F.isnan(v).cast("double"),
+    "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "degrees": F.degrees, "radians": F.radians,
+    "exp2": lambda v: F.pow(F.lit(2.0), v), "reciprocal": lambda v: divide(1.0, v), "trunc": lambda v: F.when(F.isnan(v) | (F.abs(v) == INF), v).otherwise(F.signum(v) * F.floor(F.abs(v)).cast("double")), "square": lambda v: v * v, "negative": lambda v: -v, "log": log_like(F.log), "log2": log_like(F.log2), "log10": log_like(F.log10), "log1p": lambda v: log_like(F.log)(v + 1.0), "isnan": lambda v: F.isnan(v).cast("double"),
 }
 
 
@@ -62,4 +63,4 @@ def finite(v: Column, nan: float = 0.0, posinf: float = 2147483647.0, neginf: fl
 def natural_key(name: Column) -> Column:
     """Sorts digits by their number and other runs by their letters: chr2 before chr10."""
     pieces = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(pieces, lambda p: F.struct(F.when(p.rlike(r"^\d"), F.lit("")).otherwise(p).alias("text"), F.when(p.rlike(r"^\d"), p.cast("decimal(38,0)")).alias("number")))
+    return F.transform(pieces, lambda p: F.struct(F.when(p.rlike(r"^\d"), F.lit("")).otherwise(p).alias("text"), F.when(p.rlike(r"^\d"), p.try_cast("decimal(38,0)")).alias("number")))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import NAN, UNARY, divide, finite, indicator, natural_key
+from ..functions.values import INF, NAN, UNARY, divide, finite, indicator, natural_key
 from ..plans.scan import scan
 from ..plans.segments import SEGMENT, coalesce_exact, coalesce_near, coverage, sweep
 
@@ -178,12 +178,13 @@ class SegmentFrame:
         return out.coalesce() if defragment else out
 
     def equal(self, other: SegmentFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
-        """One row, ``equal``: same keys and runs, and values that are close (NaN to NaN)."""
+        """One row, ``equal``: same keys and runs, and values that are close (NaN to NaN, an infinity only to itself)."""
         if self.keys != other.keys:
             return self.df.sparkSession.range(1).select(F.lit(False).alias("equal"))
         at = [*self.keys, "seg_start", "seg_end"]
         met = self.df.withColumnRenamed("value", "a").join(other.df.withColumnRenamed("value", "b"), at, "full_outer")
-        close = (F.col("a") == F.col("b")) | (F.abs(F.col("a") - F.col("b")) <= atol + rtol * F.abs(F.col("b")))
+        both_finite = (F.abs(F.col("a")) < INF) & (F.abs(F.col("b")) < INF)
+        close = (F.col("a") == F.col("b")) | (both_finite & (F.abs(F.col("a") - F.col("b")) <= atol + rtol * F.abs(F.col("b"))))
         return met.agg(F.coalesce(F.bool_and(F.coalesce(close & (F.isnan("a") == F.isnan("b")), F.lit(False))), F.lit(True)).alias("equal"))
 
     # ---- lookup ---------------------------------------------------------------------------------------------------

@@ -1,11 +1,13 @@
 """Worked examples, edge cases, and random vectors against a dense numpy model."""
 
+import functools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runweave.functions.values import UNARY
 from runweave.operators.frame import SegmentFrame
 from runweave.plans.segments import coalesce_exact, coalesce_near
 from runweave.sources.tables import read_runs_csv, write_runs_csv
@@ -306,3 +308,18 @@ def test_plans_shuffle_once_and_read_few_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "l_extendedprice" not in plan and "Python" not in plan
     assert isinstance(F.lit(1), type(F.col("x")))
+
+
+def test_an_infinity_equals_only_itself(spark):
+    def one(v):
+        return SegmentFrame(spark.createDataFrame([("a", 0, 1, v)], "chromosome string, seg_start long, seg_end long, value double"))
+
+    parts = [one(a).equal(one(b)).withColumn("want", F.lit(want)) for a, b, want in [(5.0, INF, False), (INF, 5.0, False), (-INF, INF, False), (INF, INF, True), (NAN, NAN, True), (NAN, INF, False)]]
+    assert all(r["equal"] == r["want"] for r in functools.reduce(lambda x, y: x.unionByName(y), parts).collect())
+
+
+def test_inverse_and_rounding_functions(spark):
+    cells = spark.createDataFrame([("a", 0, 1, 0.5)], "chromosome string, seg_start long, seg_end long, value double")
+    want = {"arcsin": math.asin(0.5), "arccos": math.acos(0.5), "arcsinh": math.asinh(0.5), "arctanh": math.atanh(0.5), "exp2": 2**0.5, "reciprocal": 2.0, "degrees": math.degrees(0.5), "radians": math.radians(0.5), "trunc": 0.0}
+    got = cells.select(*[UNARY[n](F.col("value")).alias(n) for n in want], UNARY["trunc"](F.lit(-2.5)).alias("down")).first()
+    assert all(got[n] == pytest.approx(v, rel=1e-12) for n, v in want.items()) and got["down"] == -2.0
