@@ -35,6 +35,8 @@ CROWD = 20_000
 FRONT, LEAF = 1 << 19, 64
 #: Minhash bands, and values in each: a pair of similarity 0.8 shares none with a chance of 1.3e-7, a closer one with less.
 BANDS, ROWS = 40, 5
+#: Sets of a band that one group holds at most; beyond, blocks of half as many meet two at a time.
+MEMBERS = 4096
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -204,10 +206,71 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[i : i + words]), SEED) for i in range(max(1, len(own) - words + 1))], np.uint64)) if own else np.zeros(0, np.uint64)
 
 
-def similar_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def near_bits(similarity: float, bits: int = 64) -> int:
+    """Differing bits that sets of at least this similarity stay within, but for one pair in some 100,000 at the bound itself.
+
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) or more, and each bit differs with the angle's share of the half
+    circle, or a quarter more where sets hold few shingles; 4.5 deviations are added.
+    """
+    p = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(min(bits, bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def similar_stars(sets: list[np.ndarray], block: np.ndarray, similarity: float, budget: int | None = None) -> np.ndarray:
+    """For each set the least index of its class; links are pairs of at least ``similarity``, of unequal ``block`` unless all are equal.
+
+    The trie of the sets' fingerprints is joined with itself under the budget; pairs not linked yet are compared exactly.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    here, root, across = np.zeros(int(flat.max()) + 1, bool), np.arange(len(sets)), bool((block != block[0]).any())
+
+    def compare(i: int, others: np.ndarray) -> None:
+        others = others[root[others] != root[i]]
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
+        for at in range(0, len(others), 512):
+            j = others[at : at + 512]
+            j = j[root[j] != root[i]]
+            if not len(j):
+                continue
+            here[flat[begin[i] : begin[i + 1]]] = True
+            places = np.repeat(begin[j] - (np.cumsum(sizes[j]) - sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+            both = np.add.reduceat(here[flat[places]].astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+            here[flat[begin[i] : begin[i + 1]]] = False
+            for r in set(root[j[both >= similarity * (sizes[i] + sizes[j] - both)]].tolist()) - {root[i]}:
+                low, high = sorted((int(r), int(root[i])))
+                root[root == high] = low
+
+    compare(0, np.flatnonzero(block != block[0]) if across else np.arange(1, len(sets)))  # settles a family of copies at once
+    trie = np.array([set_fingerprint(x) for x in sets], np.uint64)
+    order = np.argsort(trie, kind="stable")
+    for x, y in trie_pairs(trie[order], np.zeros(len(order), np.int64), 64, near_bits(similarity) if budget is None else budget):
+        x, y = order[x], order[y]
+        open_ = (root[x] != root[y]) & ((block[x] != block[y]) | (not across))
+        x, y = x[open_], y[open_]
+        turn = np.argsort(x, kind="stable")
+        x, y = x[turn], y[turn]
+        cuts = [0, *np.flatnonzero(np.diff(x)) + 1, len(x)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                compare(int(x[a]), y[a:b])
+    return root
+
+
+def similar_links(docs: DataFrame, words: int, similarity: float, crowd: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
     """``doc_id, mark, fp`` (a hash of the text's set of shingles), and edges ``a, b`` between sets of at least that Jaccard similarity.
 
-    Candidates share one of ``BANDS`` minhash bands; of those that share one, pairs not yet linked are compared exactly.
+    Sets are dealt to ``BANDS`` minhash bands. Within a band the trie of fingerprints is joined with itself; what stays within
+    the budget is compared exactly. A band of more than ``crowd`` sets is cut into blocks, and every two blocks meet in a group of their own.
     """
     rng = np.random.default_rng(SEED)
     factor = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,8 +281,8 @@ def similar_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataF
 
         for batch in batches:
             fps, bands = [], []
-            for t in batch.column(2).to_pylist():
-                own = shingles(t, words)
+            for raw in batch.column(2):
+                own = shingles(raw.as_py(), words)
                 fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
                 for i in range(0, len(own), 512):
@@ -230,42 +293,40 @@ def similar_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     fps = cut(rows.mapInArrow(made, "doc_id long, mark long, fp long, bands array<long>"), "fps")
-    dealt = fps.select("fp", F.explode("bands").alias("key")).distinct()
+    one = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("x"), F.first("bands").alias("bands")), "one")
+    dealt = one.select("fp", F.explode("bands").alias("key"))
     groups = dealt.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("sign")).where("lo != hi")
-    groups = cut(groups.groupBy("lo", "hi", "n", "sign").agg(F.min("key").alias("key")).select("key"), "groups")  # bands with equal members once
-    members = cut(dealt.join(groups, "key", "left_semi"), "members")
-    named = members.select("fp").distinct().join(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("x")), "fp").select("fp", F.col("x.doc_id").alias("d"), F.col("x.mark").alias("m"))
+    groups = cut(groups.groupBy("lo", "hi", "n", "sign").agg(F.min("key").alias("key")).select("key", "n"), "groups")  # bands with equal members once
+    blocks = F.when(F.col("n") > crowd, F.ceil(2 * F.col("n") / crowd)).otherwise(1)
+    members = dealt.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = cut(members.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"), "members")
+    named = members.select("fp").distinct().join(one, "fp").select("fp", F.col("x.doc_id").alias("d"), F.col("x.mark").alias("m"))
     texts = rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").dropDuplicates(["fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, fps, root = None, [], [], np.zeros(0, np.int64)
+        now, sets, own, blocks = None, [], [], []
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            root = similar_stars(sets, np.array(blocks), similarity) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+            met = np.flatnonzero(root != np.arange(len(root)))
+            if len(met):
+                names = np.array(own, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[met]), pa.array(names[root[met]])], names=["a", "b"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for key, fp, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if key != now:
-                    now, sets, fps, root = key, [], [], np.zeros(16, np.int64)
-                own, at = shingles(text, words), len(sets)
-                if at == len(root):
-                    root = np.concatenate([root, np.zeros(at, np.int64)])
-                root[at] = at
-                other = 0
-                while other < at:
-                    a, b = own, sets[other]
-                    if root[other] != root[at] and min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if both >= similarity * (len(a) + len(b) - both):
-                            out.append((fps[other], fp))
-                            low, high = sorted((root[other], root[at]))
-                            root[: at + 1][root[: at + 1] == high] = low
-                    different = np.flatnonzero(root[other + 1 : at] != root[at])  # linked ones need no comparison
-                    other = other + 1 + int(different[0]) if len(different) else at
-                sets.append(own)
-                fps.append(fp)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-
-    met = members.join(cut(texts, "texts"), "fp").select("key", "fp", "text")
-    return fps.drop("bands"), cut(met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "a long, b long").distinct(), "links")
+            heads = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            for (key, lo, hi, block, fp), raw in zip(heads, batch.column(5), strict=True):
+                if (key, lo, hi) != now:
+                    yield from stars()
+                    now, sets, own, blocks = (key, lo, hi), [], [], []
+                sets.append(shingles(raw.as_py(), words))
+                own.append(fp)
+                blocks.append(block)
+        yield from stars()
+
+    place = ["key", "lo", "hi"]
+    met = members.join(cut(texts, "texts"), "fp").select(*place, "block", "fp", "text")
+    return fps.drop("bands"), cut(met.repartition(*place).sortWithinPartitions(*place, "fp").mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
 def classes(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD, edges: DataFrame | None = None) -> DataFrame:

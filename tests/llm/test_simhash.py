@@ -123,3 +123,40 @@ def test_near_copies_of_the_pipeline_stage(spark):
     got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
     assert len(set(root.values())) < len(texts) - 20
     assert sorted(r["doc_id"] for r in got) == sorted(set(root.values()))
+
+
+def test_crowded_bands_meet_block_by_block(spark):
+    """One family of near copies and one of texts that share only a third: the same classes whole and in blocks."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{x}" for x in range(60)]
+    texts = []
+    for i in range(120):
+        own = list(shared) + [f"o{i}_{x}" for x in range(60)] if i % 2 else shared * 1 + [f"f{x}" for x in range(60)]
+        if not i % 2:
+            own[int(rng.integers(0, 120))] = f"e{i}"
+        texts.append((i, " ".join(own)))
+    sets = {d: simhash.shingles(t, 5) for d, t in texts}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for crowd in (4096, 10):
+        fps, edges = simhash.similar_links(docs, 5, 0.8, crowd)
+        rows = fps.join(simhash.classes(fps, edges=edges), "fp").collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == root
+
+
+def test_unlike_members_of_one_band_take_bounded_time():
+    """3,000 sets that share a third of their shingles, none linked."""
+    import time
+
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 60, dtype=np.uint64)])) for _ in range(3000)]
+    begin = time.monotonic()
+    root = simhash.similar_stars(sets, np.zeros(len(sets), np.int64), 0.8)
+    assert (root == np.arange(len(sets))).all() and time.monotonic() - begin < 60
