@@ -2,17 +2,20 @@
 
 Benchmark texts are cut into passages of at most ``PASSAGE`` words; their TF-IDF rows (document
 frequencies from the whole corpus) get a randomised SVD, whose products with the matrix run as
-Spark aggregates. A window of a document is looked at if it holds ``ANCHORS`` of a passage's rarest
-words: as only a fifth of a passage may be missing, every copy has that many of its anchors (a bound, so
-nothing is lost by it). Such windows are projected, and checked in the order of their cosine to the passage, every one of them, word
-by word: a longest common subsequence of at least ``SHARE`` of the passage within a span not
-much longer than it, and most of the answer (a text's last words, or what follows its last
-question mark, and its rarest words). A text is leaked into a document if one of its passages is.
-
-Results by case: null, empty and very short benchmark texts (under ``LEAST`` words) match nothing; equal
-texts match alike under each id; a null or empty document is clean; repeated documents get equal
-results; an empty table gives an empty result, an empty benchmark finds every document clean; extra columns are not
-read. The benchmark is taken in blocks of ``BLOCK`` passages, one pass over the documents each, so
+Spark aggregates. Overlapping windows of every document are projected, and those whose cosine to a
+passage reaches ``COSINE`` are its candidates. Candidates are checked word by word: a longest common
+subsequence of most of the passage (``need_of``: 80 % of a short one, falling towards half of a long one, so
+that rewording is found where chance can't explain it) within a span not much longer than it, and
+``ANSWER`` of the answer's words (a text's last words, or what follows its last question mark, and its
+rarest words). A text is leaked into a document if one of its passages is.
+
+A passage's window is at most 2.5 times as long as the passage (longer only for the shortest), and the rank
+is at least a block's number of passages, so no passage lies outside of the latent space.
+
+Results by case: null, empty and very short benchmark texts (under ``LEAST`` words) match nothing, nor do those
+without an id; equal texts match alike under each id; a null or empty document is clean; repeated documents get
+equal results; an empty table gives an empty result, an empty benchmark finds every document clean; extra columns are
+not read. The benchmark is taken in groups of ``GROUP`` passages, one pass over the documents each, so
 what is broadcast is bounded at any benchmark size.
 """
 
@@ -24,20 +27,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, free_name
 
-PASSAGE, LEAST, BLOCK = 64, 5, 1024
-#: Anchors of one passage that a window must hold.
-ANCHORS = 3
+#: Passages of one SVD, and of one pass over the documents.
+PASSAGE, LEAST, BLOCK, GROUP = 64, 5, 256, 1024
 #: Dimensions kept, extra ones drawn, and power iterations of the SVD.
-RANK, OVERSAMPLE, POWER = 128, 16, 2
-#: Share of a passage's words in order, and of its answer's words.
-SHARE, ANSWER = 0.8, 0.6
-#: Words of documents handled in one array.
-CHUNK = 1 << 18
+RANK, OVERSAMPLE, POWER = 256, 16, 2
+#: Cosine of a window and a passage from which the window is a candidate.
+COSINE = 0.4
+#: Share of a passage's words in order; long passages need a half and ``BEYOND`` words only. Share of its answer's words.
+SHARE, BEYOND, ANSWER = 0.8, 2, 0.4
+#: Words of documents put together, positions handled in one array, and the words that window borders are multiples of.
+CHUNK, PIECE, BASE = 1 << 18, 3 << 13, 3
 
 #: A-Z to lower case, ASCII signs and control characters to blanks, all other bytes as they are.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -76,6 +80,11 @@ def span_of(words: int) -> int:
     return words + words // 4 + 2
 
 
+def need_of(words: int) -> int:
+    """Words of a passage of ``words`` that must stand in order."""
+    return min(-(-int(round(SHARE * words * 1000)) // 1000), words // 2 + words % 2 + BEYOND)
+
+
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents, over the whole table."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -153,27 +162,22 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Index:
     """What a task needs to search windows: bounded by ``BLOCK`` passages of ``PASSAGE`` words."""
 
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    #: The block's number of each of the group's terms, 0 for those that the block lacks.
+    local: np.ndarray
     latent: np.ndarray
     found: np.ndarray
     passages: list[tuple[int, list[int], frozenset[int]]]
 
     def __post_init__(self) -> None:
         self.terms = [frozenset(own) for _, own, _ in self.passages]
-        self.need = np.array([-(-int(round(SHARE * len(own) * 1000)) // 1000) for _, own, _ in self.passages])
+        self.need = np.array([need_of(len(own)) for _, own, _ in self.passages])
         self.span = np.array([span_of(len(own)) for _, own, _ in self.passages])
-        # A passage may lack len - need of its words, so of any len - need + k of them k are there. Its rarest ones are its anchors.
-        self.together = np.minimum(ANCHORS, self.need)
-        rare = [sorted(own, key=lambda t: (-self.idf[t], t))[: len(own) - n + k] for (_, own, _), n, k in zip(self.passages, self.need.tolist(), self.together.tolist(), strict=True)]
-        pairs = sorted({(t, i) for i, own in enumerate(rare) for t in own})
-        self.anchor_of = np.array([i for _, i in pairs])
-        self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.idf) + 1))
-
-    def ids(self, text: str | None) -> list[int]:
-        """Term numbers of a text's words (0: none)."""
-        get = self.vocabulary.get
-        return [get(w, 0) for w in words_of(text)]
+        self.holds = np.zeros((len(self.passages), len(self.latent)), bool)
+        for i, own in enumerate(self.terms):
+            self.holds[i, list(own)] = True
+        # Windows begin at every step and are five steps long: a span of at most four steps lies in one of them.
+        steps = -(-self.span // (4 * BASE)) * BASE
+        self.classes = [(int(s), np.flatnonzero(steps == s)) for s in np.unique(steps)]
 
     def accepts(self, which: int, around: list[int]) -> bool:
         """Whether the words ``around`` hold the passage, nearly in order and nearly without gaps."""
@@ -190,62 +194,98 @@ class Index:
                     return True
         return False
 
+    def candidates(self, flat: np.ndarray, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Windows of ``flat`` from ``begin`` on, and the passages they are near to, the nearest first; by length of window."""
+        widest = 5 * self.classes[-1][0]
+        part = flat[begin : begin + PIECE + widest]
+        part = np.concatenate([part, np.zeros(-len(part) % BASE, part.dtype)])
+        if not part.any():
+            return
+        sums = self.latent[part[::BASE]]
+        for i in range(1, BASE):
+            sums += self.latent[part[i::BASE]]
+        total = np.concatenate([np.zeros((1, sums.shape[1]), sums.dtype), np.cumsum(sums, axis=0)])
+        known = np.concatenate([[0], np.cumsum(part > 0)])
+        for step, members in self.classes:
+            starts = np.arange(0, min(PIECE, len(part)), step)
+            ends = np.minimum(starts + 5 * step, len(part))
+            some = known[ends] - known[starts] >= self.need[members].min()
+            starts, ends, found = starts[some], ends[some], self.found[members].T
+            for i in range(0, len(starts), 2048):
+                vector = total[ends[i : i + 2048] // BASE] - total[starts[i : i + 2048] // BASE]
+                length = np.sqrt(np.einsum("ij,ij->i", vector, vector))
+                cosine = (vector @ found) / np.maximum(length, 1e-6)[:, None]
+                row, of = np.nonzero(cosine >= COSINE)
+                order = np.argsort(-cosine[row, of], kind="stable")
+                yield begin + starts[i + row[order]], members[of[order]], 5 * step
+
     def search(self, texts: list[list[int]]) -> list[set[int]]:
-        """The leaked items of each text, given as term numbers."""
+        """The leaked items of each text, given as the group's term numbers."""
         out: list[set[int]] = [set() for _ in texts]
-        gap = int(self.span.max(initial=1))
+        gap = 5 * self.classes[-1][0]  # no window meets two texts
         flat = np.zeros(sum(map(len, texts)) + gap * (len(texts) + 1), np.int64)
-        owner, at = np.full(len(flat), -1), gap
-        for i, t in enumerate(texts):
-            flat[at : at + len(t)], owner[at : at + len(t)] = t, i
+        ends, at = [], gap
+        for t in texts:
+            flat[at : at + len(t)] = t
+            ends.append(at + len(t))
             at += len(t) + gap
-        count = self.first[flat + 1] - self.first[flat]
-        place = np.flatnonzero(count)
-        place, count = np.repeat(place, count[place]), count[place]
-        which = self.anchor_of[np.repeat(self.first[flat[np.flatnonzero(self.first[flat + 1] > self.first[flat])]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        order = np.lexsort((place, which))
-        place, which = place[order], which[order]
-        last = np.arange(len(place)) + self.together[which] - 1
-        close = np.flatnonzero(last < len(place))
-        close = close[(which[last[close]] == which[close]) & (place[last[close]] - place[close] < self.span[which[close]])]
-        for i in range(0, len(close), 2048):
-            p, at = which[close[i : i + 2048]], place[close[i : i + 2048]]
-            reach = self.span[p]
-            steps = np.arange(2 * int(reach.max()))
-            where = (at - reach)[:, None] + steps
-            ids = np.where(steps < 2 * reach[:, None], flat[np.clip(where, 0, len(flat) - 1)], 0)
-            ids[owner[np.clip(where, 0, len(flat) - 1)] != owner[at][:, None]] = 0
-            r, c = np.nonzero(ids)
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            vector = np.add.reduceat(self.latent[ids[r, c]], first, axis=0)  # each row has its anchors
-            cosine = (vector * self.found[p]).sum(1) / np.maximum(np.linalg.norm(vector, axis=1), 1e-12)
-            like = np.argsort(-cosine, kind="stable")  # the likeliest windows first; none is left out
-            for w, of, row in zip(p[like].tolist(), owner[at[like]].tolist(), ids[like], strict=True):
-                if self.passages[w][0] not in out[of] and self.accepts(w, row.tolist()):
-                    out[of].add(self.passages[w][0])
+        flat = self.local[flat]
+        for begin in range(0, len(flat), PIECE):
+            for places, which, width in self.candidates(flat, begin):
+                for i in range(0, len(places), 4096):
+                    p = which[i : i + 4096]
+                    ids = flat[np.minimum(places[i : i + 4096, None] + np.arange(width), len(flat) - 1)]
+                    enough = np.flatnonzero(self.holds[p[:, None], ids].sum(1) >= self.need[p])  # at least the common subsequence
+                    owner = np.searchsorted(ends, places[i + enough])
+                    for w, of, row in zip(p[enough].tolist(), owner.tolist(), ids[enough], strict=True):
+                        if self.passages[w][0] not in out[of] and self.accepts(w, row.tolist()):
+                            out[of].add(self.passages[w][0])
         return out
 
 
-def build_index(docs: DataFrame, block: list[Passage]) -> Index:
-    spark = docs.sparkSession
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for p in block for w in p.words}))}
-    df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1.0)) + 0.05
-    idf[0] = 0
-    rows, own = [], []
+@dataclass
+class Group:
+    """The blocks searched in one pass, and the numbers of their words."""
+
+    vocabulary: dict[bytes, int]
+    blocks: list[Index]
+
+    def ids(self, text: str | None) -> list[int]:
+        """Term numbers of a text's words (0: none)."""
+        get = self.vocabulary.get
+        return [get(w, 0) for w in words_of(text)]
+
+    def search(self, texts: list[list[int]]) -> list[set[int]]:
+        found = [block.search(texts) for block in self.blocks]
+        return [set().union(*each) for each in zip(*found, strict=True)]
+
+
+def build_block(spark: SparkSession, block: list[Passage], vocabulary: dict[bytes, int], idf: np.ndarray) -> Index:
+    own = np.array(sorted({vocabulary[w] for p in block for w in p.words}))
+    local = np.zeros(len(vocabulary) + 1, np.int64)
+    local[own] = np.arange(1, len(own) + 1)
+    weight = np.concatenate([[0.0], idf[own]])
+    rows, kept = [], []
     for p in block:
-        ids = [vocabulary[w] for w in p.words]
+        ids = [int(local[vocabulary[w]]) for w in p.words]
         counts = Counter(ids)
-        rows.append((list(counts), [float(c * idf[t]) for t, c in counts.items()]))
-        rare = sorted(counts, key=lambda t: (-idf[t], t))[:3]
-        own.append((p.item, ids, frozenset(vocabulary[w] for w in p.answer) | frozenset(rare)))
+        rows.append((list(counts), [float(c * weight[t]) for t, c in counts.items()]))
+        rare = sorted(counts, key=lambda t: (-weight[t], t))[:3]
+        kept.append((p.item, ids, frozenset(int(local[vocabulary[w]]) for w in p.answer) | frozenset(rare)))
     matrix = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
-    basis = randomised_svd(cut(matrix, "passages"), len(idf), min(RANK, len(block)))
+    basis = randomised_svd(cut(matrix, "passages"), len(weight), min(RANK, len(block)))
     found = np.zeros((len(rows), basis.shape[1]))
     for i, (terms, weights) in enumerate(rows):
         found[i] = np.array(weights) @ basis[terms]
     found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
-    return Index(vocabulary, idf, (idf[:, None] * basis).astype(np.float32), found.astype(np.float32), own)
+    return Index(local, (weight[:, None] * basis).astype(np.float32), found.astype(np.float32), kept)
+
+
+def build_group(docs: DataFrame, group: list[Passage]) -> Group:
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for p in group for w in p.words}))}
+    df, n = document_frequencies(docs, vocabulary)
+    idf = np.log((n + 1) / (df + 1.0)) + 0.05
+    return Group(vocabulary, [build_block(docs.sparkSession, group[i : i + BLOCK], vocabulary, idf) for i in range(0, len(group), BLOCK)])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -255,8 +295,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs.withColumn(name, F.array().cast("array<long>"))
     seen: list[Passage] = []
 
-    def searched(df: DataFrame, block: list[Passage]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(docs, block))
+    def searched(df: DataFrame, group: list[Passage]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(build_group(docs, group))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -265,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 begin, texts, size = 0, [], 0
                 for i, raw in enumerate(batch.column(at)):
                     texts.append(index.ids(raw.as_py()))
-                    size += len(texts[-1]) + 84
+                    size += len(texts[-1]) + 5 * BASE * 7
                     if size >= CHUNK or i == batch.num_rows - 1:
                         part = batch.slice(begin, i + 1 - begin)
                         both = [sorted(x | set(h or ())) for x, h in zip(index.search(texts), held[begin : i + 1], strict=True)]
@@ -276,7 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for row in benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").toLocalIterator():
         seen += passages([(row[0], row[1])])
-        if len(seen) >= BLOCK:
+        if len(seen) >= GROUP:
             out, seen = searched(out, seen), []
     return searched(out, seen) if seen else out
 

@@ -32,13 +32,16 @@ def brute(docs, items):
         words, out[d] = decontam.words_of(t), set()
         have = set(words)
         for p in ps:
-            if sum(w in have for w in p.words) < decontam.SHARE * len(p.words):
+            if sum(w in have for w in p.words) < decontam.need_of(len(p.words)):
                 continue
             answer = p.answer | set(sorted(set(p.words), key=lambda w: (-idf(w), names[w]))[:3])
             span = len(p.words) + len(p.words) // 4 + 2
-            for i in range(len(words)):
+            own, need = set(p.words), decontam.need_of(len(p.words))
+            known = np.concatenate([[0], np.cumsum([w in own for w in words])])  # a subsequence has known words only
+            ends = np.minimum(np.arange(len(words)) + span, len(words))
+            for i in np.flatnonzero(known[ends] - known[:-1] >= need).tolist():
                 part = words[i : i + span]
-                if words[i] in p.words and lcs(p.words, part) >= decontam.SHARE * len(p.words) and len(answer & set(part)) >= decontam.ANSWER * len(answer):
+                if words[i] in own and lcs(p.words, [w for w in part if w in own]) >= need and len(answer & set(part)) >= decontam.ANSWER * len(answer):
                     out[d].add(p.item)
                     break
     return out
@@ -89,6 +92,63 @@ def test_paraphrases_of_all_lengths(spark):
     assert sum(len(got[d] - {i}) for d, (i, _) in planted.items()) == 0
 
 
+def reworded(share, seed=4, n=200):
+    """Items of 16 to 64 words, each in a document of its own with ``share`` of its words replaced, and clean documents after them."""
+    rng = random.Random(seed)
+    common, pool = ([f"{c}{i}" for i in range(k)] for c, k in (("c", 60), ("p", 3000)))
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(pool) for _ in range(n)]
+    items = [(i, prose(rng.randint(16, 64))) for i in range(n)]
+    docs = []
+    for i, own in items:
+        new = list(own)
+        for at in rng.sample(range(len(own)), int(share * len(own))):
+            new[at] = rng.choice(pool)
+        docs.append((i, " ".join([*prose(rng.randint(0, 300)), *new, *prose(rng.randint(0, 300))])))
+    docs += [(n + j, " ".join(prose(500))) for j in range(100)]
+    return docs, [(i, " ".join(w)) for i, w in items]
+
+
+def found(spark, docs, items):
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {r["doc_id"]: set(r["item_ids"]) for r in got}
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.2, 0.97), (0.3, 0.9)])
+def test_reworded_passages(spark, share, least):
+    docs, items = reworded(share)
+    got, want = found(spark, docs, items), brute(docs, items)
+    assert all(got[d] <= want[d] for d in got)
+    assert sum(d in got[d] for d, _ in items) >= least * len(items)
+    assert not any(got[d] - {d} for d in got)
+
+
+def test_cosine_decides_what_is_checked(spark, monkeypatch):
+    docs, items = reworded(0.2, n=60)
+    group = decontam.build_group(spark.createDataFrame(docs, "doc_id long, text string"), decontam.passages(items))
+    block, ids = group.blocks[0], [group.ids(t) for _, t in docs]
+    flat = block.local[np.concatenate([np.array([*x, *[0] * 200]) for x in ids])]
+
+    def near(cosine):
+        monkeypatch.setattr(decontam, "COSINE", cosine)
+        return sum(len(places) for b in range(0, len(flat), decontam.PIECE) for places, _, _ in block.candidates(flat, b))
+
+    every, some = near(-2), near(0.4)
+    assert 0 < some < 0.1 * every
+    monkeypatch.setattr(decontam, "COSINE", 0.4)
+    right = group.search(ids)
+    assert sum(map(len, right)) >= 0.97 * len(items)
+    block.latent = np.random.default_rng(1).standard_normal(block.latent.shape).astype(np.float32)  # other directions than the SVD's
+    assert sum(map(len, group.search(ids))) < 0.5 * sum(map(len, right))
+
+
+def test_long_texts_are_searched_in_pieces(spark):
+    docs, items = reworded(0.0, n=40)
+    whole = [(0, " ".join(t for _, t in docs) + " filler" * 20 * decontam.PIECE + " " + items[0][1])]
+    assert found(spark, whole, items)[0] == set(range(40))
+    alone = [(0, "filler " * (k - 1) + items[0][1]) for k in (decontam.PIECE - 30, decontam.PIECE, 2 * decontam.PIECE - 200)]
+    assert all(found(spark, [d], items)[0] == {0} for d in alone)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
