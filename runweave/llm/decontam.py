@@ -40,6 +40,8 @@ RANK, OVERSAMPLE, POWER = 256, 16, 2
 COSINE = 0.4
 #: Share of a passage's words in order; long passages need a half and ``BEYOND`` words only. Share of its answer's words.
 SHARE, BEYOND, ANSWER = 0.8, 2, 0.4
+#: A word counts in a window only if it doesn't stand among the so many words before it, so that repeats don't outweigh a passage.
+REPEAT = 32
 #: Words of documents put together, positions handled in one array, and the words that window borders are multiples of.
 CHUNK, PIECE, BASE = 1 << 18, 3 << 13, 3
 
@@ -158,6 +160,15 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def without_repeats(ids: np.ndarray) -> np.ndarray:
+    """``ids`` with 0 in place of each that stands within ``REPEAT`` places before it."""
+    order = np.argsort(ids, kind="stable")
+    again = (ids[order[1:]] == ids[order[:-1]]) & (order[1:] - order[:-1] <= REPEAT)
+    out = ids.copy()
+    out[order[1:][again]] = 0
+    return out
+
+
 @dataclass
 class Index:
     """What a task needs to search windows: bounded by ``BLOCK`` passages of ``PASSAGE`` words."""
@@ -201,9 +212,10 @@ class Index:
         part = np.concatenate([part, np.zeros(-len(part) % BASE, part.dtype)])
         if not part.any():
             return
-        sums = self.latent[part[::BASE]]
+        fresh = without_repeats(part)
+        sums = self.latent[fresh[::BASE]]
         for i in range(1, BASE):
-            sums += self.latent[part[i::BASE]]
+            sums += self.latent[fresh[i::BASE]]
         total = np.concatenate([np.zeros((1, sums.shape[1]), sums.dtype), np.cumsum(sums, axis=0)])
         known = np.concatenate([[0], np.cumsum(part > 0)])
         for step, members in self.classes:
@@ -262,15 +274,15 @@ class Group:
 
 def build_block(spark: SparkSession, block: list[Passage], vocabulary: dict[bytes, int], idf: np.ndarray) -> Index:
     own = np.array(sorted({vocabulary[w] for p in block for w in p.words}))
-    local = np.zeros(len(vocabulary) + 1, np.int64)
+    local = np.zeros(len(vocabulary) + 1, np.uint16 if len(own) < 1 << 16 else np.int32)
     local[own] = np.arange(1, len(own) + 1)
     weight = np.concatenate([[0.0], idf[own]])
     rows, kept = [], []
     for p in block:
         ids = [int(local[vocabulary[w]]) for w in p.words]
-        counts = Counter(ids)
-        rows.append((list(counts), [float(c * weight[t]) for t, c in counts.items()]))
-        rare = sorted(counts, key=lambda t: (-weight[t], t))[:3]
+        terms = sorted(set(ids))
+        rows.append((terms, weight[terms].tolist()))
+        rare = sorted(terms, key=lambda t: (-weight[t], t))[:3]
         kept.append((p.item, ids, frozenset(int(local[vocabulary[w]]) for w in p.answer) | frozenset(rare)))
     matrix = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
     basis = randomised_svd(cut(matrix, "passages"), len(weight), min(RANK, len(block)))
