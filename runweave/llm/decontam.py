@@ -9,7 +9,7 @@ that rewording is found where chance can't explain it) within a span not much lo
 ``ANSWER`` of the answer's words (a text's last words, or what follows its last question mark, and its
 rarest words). A text is leaked into a document if one of its passages is.
 
-A passage's window is at most 2.5 times as long as the passage (longer only for the shortest), and the rank
+A passage's window is at most twice as long as the passage (longer only for the shortest), and the rank
 is at least a block's number of passages, so no passage lies outside of the latent space.
 
 Results by case: null, empty and very short benchmark texts (under ``LEAST`` words) match nothing, nor do those
@@ -43,7 +43,7 @@ SHARE, BEYOND, ANSWER = 0.8, 2, 0.4
 #: A word counts in a window only if it doesn't stand among the so many words before it, so that repeats don't outweigh a passage.
 REPEAT = 32
 #: Words of documents put together, positions handled in one array, and the words that window borders are multiples of.
-CHUNK, PIECE, BASE = 1 << 18, 3 << 13, 3
+CHUNK, PIECE, BASE = 1 << 18, 3 << 13, 6
 
 #: A-Z to lower case, ASCII signs and control characters to blanks, all other bytes as they are.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -186,8 +186,8 @@ class Index:
         self.holds = np.zeros((len(self.passages), len(self.latent)), bool)
         for i, own in enumerate(self.terms):
             self.holds[i, list(own)] = True
-        # Windows begin at every step and are five steps long: a span of at most four steps lies in one of them.
-        steps = -(-self.span // (4 * BASE)) * BASE
+        # Windows begin at every step and are three steps long: a span of at most two steps lies in one of them.
+        steps = -(-self.span // (2 * BASE)) * BASE
         self.classes = [(int(s), np.flatnonzero(steps == s)) for s in np.unique(steps)]
 
     def accepts(self, which: int, around: list[int]) -> bool:
@@ -207,20 +207,21 @@ class Index:
 
     def candidates(self, flat: np.ndarray, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Windows of ``flat`` from ``begin`` on, and the passages they are near to, the nearest first; by length of window."""
-        widest = 5 * self.classes[-1][0]
+        widest = 3 * self.classes[-1][0]
         part = flat[begin : begin + PIECE + widest]
         part = np.concatenate([part, np.zeros(-len(part) % BASE, part.dtype)])
         if not part.any():
             return
         fresh = without_repeats(part)
-        sums = self.latent[fresh[::BASE]]
+        sums = self.latent.take(fresh[::BASE], axis=0, mode="clip")
+        row = np.empty_like(sums)
         for i in range(1, BASE):
-            sums += self.latent[fresh[i::BASE]]
+            sums += self.latent.take(fresh[i::BASE], axis=0, out=row, mode="clip")
         total = np.concatenate([np.zeros((1, sums.shape[1]), sums.dtype), np.cumsum(sums, axis=0)])
         known = np.concatenate([[0], np.cumsum(part > 0)])
         for step, members in self.classes:
             starts = np.arange(0, min(PIECE, len(part)), step)
-            ends = np.minimum(starts + 5 * step, len(part))
+            ends = np.minimum(starts + 3 * step, len(part))
             some = known[ends] - known[starts] >= self.need[members].min()
             starts, ends, found = starts[some], ends[some], self.found[members].T
             for i in range(0, len(starts), 2048):
@@ -229,12 +230,12 @@ class Index:
                 cosine = (vector @ found) / np.maximum(length, 1e-6)[:, None]
                 row, of = np.nonzero(cosine >= COSINE)
                 order = np.argsort(-cosine[row, of], kind="stable")
-                yield begin + starts[i + row[order]], members[of[order]], 5 * step
+                yield begin + starts[i + row[order]], members[of[order]], 3 * step
 
     def search(self, texts: list[list[int]]) -> list[set[int]]:
         """The leaked items of each text, given as the group's term numbers."""
         out: list[set[int]] = [set() for _ in texts]
-        gap = 5 * self.classes[-1][0]  # no window meets two texts
+        gap = 3 * self.classes[-1][0]  # no window meets two texts
         flat = np.zeros(sum(map(len, texts)) + gap * (len(texts) + 1), np.int64)
         ends, at = [], gap
         for t in texts:
@@ -317,7 +318,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 begin, texts, size = 0, [], 0
                 for i, raw in enumerate(batch.column(at)):
                     texts.append(index.ids(raw.as_py()))
-                    size += len(texts[-1]) + 5 * BASE * 7
+                    size += len(texts[-1]) + 2 * PASSAGE
                     if size >= CHUNK or i == batch.num_rows - 1:
                         part = batch.slice(begin, i + 1 - begin)
                         both = [sorted(x | set(h or ())) for x, h in zip(index.search(texts), held[begin : i + 1], strict=True)]
