@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import INF, NAN, UNARY, divide, finite, indicator, natural_key
-from ..plans.scan import scan
+from ..plans.scan import number, scan
 from ..plans.segments import SEGMENT, coalesce_exact, coalesce_near, coverage, sweep
 
 Number = int | float
@@ -218,20 +218,29 @@ class SegmentFrame:
     def lookup(self, intervals: DataFrame, bin_width: int | None = None) -> DataFrame:
         """One row for each query interval and run that it overlaps: ``Start, End, ID, Run, Value`` by key.
 
-        ``intervals``: keys, ``start, end`` and, if it is there, ``ordinal``, which numbers a key's queries from 0. With ``bin_width`` both sides are dealt to bins of
-        positions, and each pair is kept in the bin of its overlap's start, so that long keys spread over tasks.
+        ``intervals``: keys, ``start, end`` and, if it is there, ``ordinal``, which numbers a key's queries from 0. Both sides are dealt to
+        bins of positions, and each pair is kept in the bin of its overlap's start, so that long keys spread over tasks. Bins are
+        ``bin_width`` wide, or else 16 mean runs or a mean query, whichever is more: then the queries' and runs' places in bins are at most
+        three times as many as they. Queries are numbered in tiles if their ordinals are whole numbers, else a key's in one task.
         """
         bad = (F.col("start") < 0) | (F.col("end") < F.col("start"))
         asked = intervals.select(*self.keys, F.when(bad, F.raise_error(F.lit("intervals need 0 <= start <= end")).cast("long")).otherwise(F.col("start").cast("long")).alias("Start"), F.col("end").cast("long").alias("End"), *([F.col("ordinal")] if "ordinal" in intervals.columns else [F.monotonically_increasing_id().alias("ordinal")]))
-        asked = scan(asked.withColumn("one", F.lit(1.0)), self.keys, "ordinal", sums=("one",)).withColumn("ID", F.col("one_sum").cast("long")).drop("one", "one_sum", "ordinal")
-        on, runs = list(self.keys), self.df
-        if bin_width:
-            bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_width), F.floor(F.greatest(hi - 1, lo) / bin_width)))
-            asked, runs, on = asked.withColumn("bin", bins(F.col("Start"), F.col("End"))), runs.withColumn("bin", bins(F.col("seg_start"), F.col("seg_end"))), [*on, "bin"]
-        s, e, a, b = (F.col(c) for c in ("Start", "End", "seg_start", "seg_end"))
-        met = asked.join(runs, on).where(((s < e) & (a < e) & (s < b)) | ((s == e) & (a <= s) & (s < b)))
-        if bin_width:
-            met = met.where(F.col("bin") == F.floor(F.greatest(s, a) / bin_width))
+        s, e, a, b, top = (F.col(c) for c in ("Start", "End", "seg_start", "seg_end", "_top"))
+        runs = self.df.agg(F.coalesce(F.max(b), F.lit(0)).alias("_top"), F.avg(b - a).alias("_run"))
+        facts = asked.crossJoin(F.broadcast(runs)).agg(F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"), F.max("_top").alias("_top"), F.max("_run").alias("_run"), F.avg(F.greatest(F.least(e, top) - s, F.lit(0))).alias("_asked"))
+        width = F.lit(bin_width) if bin_width else F.ceil(F.greatest(F.col("_run") * 16, "_asked", top / 2**20, F.lit(1.0)))
+        facts = F.broadcast(facts.select("_lo", "_hi", F.coalesce(top, F.lit(0)).alias("_top"), F.coalesce(width.cast("long"), F.lit(1)).alias("_width")))
+        asked = asked.crossJoin(facts)
+        if "ordinal" in intervals.columns and intervals.schema["ordinal"].dataType.typeName() in ("byte", "short", "integer", "long"):
+            asked = number(asked, self.keys, "ordinal", "ID")
+        else:
+            asked = scan(asked.withColumn("one", F.lit(1.0)), self.keys, "ordinal", sums=("one",)).withColumn("ID", F.col("one_sum").cast("long"))
+        bin_of = lambda pos: F.call_function("div", pos, F.col("_width"))
+        bins = lambda lo, hi: F.explode(F.sequence(bin_of(lo), bin_of(F.greatest(hi - 1, lo)))).alias("bin")
+        asked = asked.select(*self.keys, "Start", "End", "ID", "_width", bins(s, F.least(e, top)))
+        dealt = self.df.crossJoin(facts.select("_width")).select(*self.keys, *SEGMENT, bins(a, b))
+        met = asked.join(dealt, [*self.keys, "bin"]).where(((s < e) & (a < e) & (s < b)) | ((s == e) & (a <= s) & (s < b)))
+        met = met.where(F.col("bin") == bin_of(F.greatest(s, a)))
         return met.select("chromosome", "Start", "End", "ID", (F.least(e, b) - F.greatest(s, a)).alias("Run"), F.col("value").alias("Value"), *self.keys[1:])
 
     def select_keys(self, chromosome: str | None = None, strand: str | None = None) -> SegmentFrame:

@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scan(df: DataFrame, keys: list[str], pos: str, sums: tuple[str, ...] = (), fills: tuple[str, ...] = (), lags: tuple[str, ...] = (), leads: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
-    """``df`` with ``{c}_sum`` (of earlier rows), ``{c}_fill`` (last value so far that isn't null), ``{c}_lag``, ``{c}_lead``."""
+#: Into so many tiles ``number`` cuts the span of the ordinals.
+NUMBER_TILES = 4096
+
+
+def scan(df: DataFrame, keys: list[str], pos: str | list[str], sums: tuple[str, ...] = (), fills: tuple[str, ...] = (), lags: tuple[str, ...] = (), leads: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
+    """``df`` with ``{c}_sum`` (of earlier rows), ``{c}_fill`` (last value so far that isn't null), ``{c}_lag``, ``{c}_lead``.
+
+    ``pos``: a column, or (without ``tile``) several.
+    """
     by = list(keys)
     if tile:
         df = df.withColumn("_tile", F.floor(F.col(pos) / tile))
@@ -37,3 +44,17 @@ def scan(df: DataFrame, keys: list[str], pos: str, sums: tuple[str, ...] = (), f
     joined |= {f"{c}_lag": F.when(F.col("_top"), F.col(f"_last_{c}")).otherwise(F.col(f"{c}_lag")) for c in lags}
     joined |= {f"{c}_lead": F.when(F.col("_end"), F.col(f"_first_{c}")).otherwise(F.col(f"{c}_lead")) for c in leads}
     return out.withColumns(joined).drop("_tile", "_top", "_end", *[c for c in tiles.columns if c.startswith(("_sum_", "_fill_", "_last_", "_first_"))])
+
+
+def number(df: DataFrame, keys: list[str], ordinal: str, name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place, from 0, among its key's rows in the order of ``ordinal``, a column of whole numbers.
+
+    ``df`` also has ``_lo`` and ``_hi``, the least and greatest ordinal of all. Their span is cut into tiles; rows are numbered
+    within (key, tile), and the rows of a key's earlier tiles are added. So a key lies in one task only if its ordinals crowd in one tile.
+    """
+    lo, hi, o = (F.col(c).cast("double") for c in ("_lo", "_hi", ordinal))
+    dealt = df.withColumn("_tile", F.coalesce(F.floor((o - lo) / ((hi - lo) / NUMBER_TILES + 1)), F.lit(-1)))
+    earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = dealt.groupBy(*keys, "_tile").agg(F.count("*").alias("_n")).select(*keys, "_tile", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_tile").orderBy(ordinal)))
+    return placed.join(tiles, [*keys, "_tile"]).withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_tile", "_before", "_place")

@@ -323,3 +323,19 @@ def test_inverse_and_rounding_functions(spark):
     want = {"arcsin": math.asin(0.5), "arccos": math.acos(0.5), "arcsinh": math.asinh(0.5), "arctanh": math.atanh(0.5), "exp2": 2**0.5, "reciprocal": 2.0, "degrees": math.degrees(0.5), "radians": math.radians(0.5), "trunc": 0.0}
     got = cells.select(*[UNARY[n](F.col("value")).alias(n) for n in want], UNARY["trunc"](F.lit(-2.5)).alias("down")).first()
     assert all(got[n] == pytest.approx(v, rel=1e-12) for n, v in want.items()) and got["down"] == -2.0
+
+
+def test_lookup_deals_one_keys_queries_and_runs_to_tiles_and_bins(spark):
+    rows, df = intervals(spark, n=60, seed=5, keys=("a",))
+    frame = SegmentFrame.coverage(df, mode="exact")
+    rng = np.random.default_rng(7)
+    asked = [("a", int(s := rng.integers(0, 400)), int(s + rng.integers(0, 30)), int(o)) for o in rng.permutation(300) * 10**6 - 10**7] + [("a", 0, 2**62, -(2**60)), ("a", 5, 5, 2**61)]
+    q = spark.createDataFrame(asked, "chromosome string, start long, end long, ordinal long")
+    met = frame.lookup(q)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "bin#" in join and "_tile#" in plan
+    ids = {r[3]: i for i, r in enumerate(sorted(asked, key=lambda r: r[3]))}
+    runs = [(r["seg_start"], r["seg_end"], r["value"]) for r in frame.df.collect()]
+    want = sorted((k, s, e, ids[o], min(e, b) - max(s, a), v) for k, s, e, o in asked for a, b, v in runs if (s < e and a < e and s < b) or (s == e and a <= s < b))
+    assert sorted(tuple(r) for r in met.collect()) == want
