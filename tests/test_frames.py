@@ -339,3 +339,12 @@ def test_lookup_deals_one_keys_queries_and_runs_to_tiles_and_bins(spark):
     runs = [(r["seg_start"], r["seg_end"], r["value"]) for r in frame.df.collect()]
     want = sorted((k, s, e, ids[o], min(e, b) - max(s, a), v) for k, s, e, o in asked for a, b, v in runs if (s < e and a < e and s < b) or (s == e and a <= s < b))
     assert sorted(tuple(r) for r in met.collect()) == want
+
+
+def test_lookup_in_a_selected_key_is_binned_and_asks_only_its_queries(spark):
+    rows, df = intervals(spark, seed=6)
+    q = df.select("chromosome", "start", "end", (F.col("start") * 1000 + F.monotonically_increasing_id() % 1000).alias("ordinal"))
+    one, every = SegmentFrame.coverage(df, mode="exact")["chr2"][q], SegmentFrame.coverage(df, mode="exact").lookup(q, bin_width=10**6)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin#" in next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in every.where("chromosome = 'chr2'").collect())
