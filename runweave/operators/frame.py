@@ -60,12 +60,15 @@ class SegmentFrame:
         return cls(starts.select(*keys, F.col("p").alias("seg_start"), F.col("p_lead").alias("seg_end"), F.col("v").alias("value")), **how)
 
     @classmethod
-    def coverage(cls, intervals: DataFrame | str, stranded: bool = False, value_col: str | None = None, nb_cpu: int | None = None, spark: SparkSession | None = None, **how) -> SegmentFrame:
-        """How many (or how much of ``value_col``) of the ``intervals`` (a frame or a table's name) lie over each position."""
+    def coverage(cls, intervals: DataFrame | str, stranded: bool = False, value_col: str | None = None, nb_cpu: int | None = None, spark: SparkSession | None = None, repeats: bool = True, **how) -> SegmentFrame:
+        """How many (or how much of ``value_col``) of the ``intervals`` (a frame or a table's name) lie over each position.
+
+        ``repeats``: False for many short keys whose intervals seldom share positions (see ``plans.segments.coverage``).
+        """
         if isinstance(intervals, str):
             intervals = (spark or SparkSession.active()).table(intervals)
         keys = ["chromosome", "strand"] if stranded else ["chromosome"]
-        return cls(coverage(intervals, keys, F.col(value_col) if value_col else None, how.get("tile")), **how).coalesce()
+        return cls(coverage(intervals, keys, F.col(value_col) if value_col else None, how.get("tile"), repeats), **how).coalesce("seg_end")
 
     @classmethod
     def from_dict(cls, vectors: dict, **how) -> SegmentFrame:
@@ -84,9 +87,10 @@ class SegmentFrame:
     def _valued(self, value: Column) -> SegmentFrame:
         return self._new(self.df.withColumn("value", value))
 
-    def coalesce(self) -> SegmentFrame:
+    def coalesce(self, order: str = "seg_start") -> SegmentFrame:
+        """Neighbouring equal (or near) runs as one. ``order``: ``seg_end`` where the rows are sorted by that already."""
         merge = coalesce_exact if self.mode == "exact" else coalesce_near
-        return self._new(merge(self.df, self.keys, self.tile))
+        return self._new(merge(self.df, self.keys, self.tile, order))
 
     def copy(self) -> SegmentFrame:
         return self._new(self.df)

@@ -19,14 +19,30 @@ TOLERANCE = 1e-5
 SEGMENT = ["seg_start", "seg_end", "value"]
 
 
-def coverage(intervals: DataFrame, keys: list[str], weight: Column | None = None, tile: int | None = None) -> DataFrame:
-    """Segments of the summed weights of ``intervals`` (keys, start, end): one pass of +w and -w events, uncoalesced."""
-    w = (F.lit(1.0) if weight is None else weight).cast("double")
+def _named(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    return intervals.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
+
+
+def _start() -> Column:
     bad = (F.col("start") < 0) | (F.col("end") < F.col("start"))
-    start = F.when(bad, F.raise_error(F.lit("intervals need 0 <= start <= end")).cast("long")).otherwise(F.col("start").cast("long"))
-    events = F.array(F.struct(start.alias("pos"), w.alias("d")), F.struct(F.col("end").cast("long").alias("pos"), (-w).alias("d")))
-    named = intervals.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]))
-    deltas = named.select(*keys, F.explode(events).alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+    return F.when(bad, F.raise_error(F.lit("intervals need 0 <= start <= end")).cast("long")).otherwise(F.col("start").cast("long"))
+
+
+def coverage(intervals: DataFrame, keys: list[str], weight: Column | None = None, tile: int | None = None, repeats: bool = True) -> DataFrame:
+    """Segments of the summed weights of ``intervals`` (keys, start, end): one pass of +w and -w events, in the order of ``seg_end``, uncoalesced.
+
+    ``repeats``: sum up the events of a position before they are shuffled. False, for many short keys whose intervals seldom share
+    positions: intervals go to their key's task as they are, where the steps between events of one position are empty.
+    """
+    w = (F.lit(1.0) if weight is None else weight).cast("double")
+    if repeats or tile:
+        events = F.array(F.struct(_start().alias("pos"), w.alias("d")), F.struct(F.col("end").cast("long").alias("pos"), (-w).alias("d")))
+        deltas = _named(intervals, keys).select(*keys, F.explode(events).alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+    else:
+        parts = int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small ones aren't merged: what is sorted there is twice as much
+        dealt = _named(intervals, keys).select(*keys, _start().alias("start"), F.col("end").cast("long").alias("end"), w.alias("w")).repartition(parts, *keys)
+        events = F.array(F.struct(F.col("start").alias("pos"), F.col("w").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("w")).alias("d")))
+        deltas = dealt.select(*keys, F.explode(events).alias("e")).select(*keys, "e.pos", "e.d")
     steps = scan(deltas, keys, "pos", sums=("d",), lags=("pos",), tile=tile)
     steps = steps.select(*keys, F.coalesce("pos_lag", F.lit(0)).alias("seg_start"), F.col("pos").alias("seg_end"), F.col("d_sum").alias("value"))
     return steps.where("seg_end > seg_start")
@@ -51,22 +67,27 @@ def sweep(x: DataFrame, y: DataFrame, keys: list[str], expr: Callable[[Column, C
     return filled.select(*keys, F.col("pos").alias("seg_start"), F.col("pos_lead").alias("seg_end"), values.alias("value"))
 
 
-def coalesce_exact(segments: DataFrame, keys: list[str], tile: int | None = None) -> DataFrame:
-    """Neighbouring runs of equal value (NaN equals NaN) as one: the starts of runs, each ended by the next."""
-    seen = scan(segments, keys, "seg_start", lags=("value", "seg_end"), leads=("seg_end",), tile=tile)
-    new = F.col("seg_end_lag").isNull() | ~F.col("value").eqNullSafe(F.col("value_lag"))
-    marks = F.array_compact(F.array(F.when(new, F.struct(F.col("seg_start").alias("p"), F.col("value").alias("v"))), F.when(F.col("seg_end_lead").isNull(), F.struct(F.col("seg_end").alias("p"), F.lit(None).cast("double").alias("v")))))
-    starts = seen.select(*keys, F.explode(marks).alias("m")).select(*keys, "m.p", "m.v")
-    return scan(starts, keys, "p", leads=("p",), tile=tile).where("p_lead IS NOT NULL").select(*keys, F.col("p").alias("seg_start"), F.col("p_lead").alias("seg_end"), F.col("v").alias("value"))
+def coalesce_exact(segments: DataFrame, keys: list[str], tile: int | None = None, order: str = "seg_start") -> DataFrame:
+    """Neighbouring runs of equal value (NaN equals NaN) as one, with the first one's value.
+
+    ``order``: ``seg_start`` or ``seg_end``, whichever the rows are sorted by already; both scans then need no sort of their own.
+    """
+    seen = scan(segments, keys, order, lags=("value", "seg_end"), leads=("value", "seg_end"), tile=tile)
+    first = F.col("seg_end_lag").isNull() | ~F.col("value").eqNullSafe(F.col("value_lag"))
+    last = F.col("seg_end_lead").isNull() | ~F.col("value").eqNullSafe(F.col("value_lead"))
+    edges = seen.select(*keys, *SEGMENT, first.alias("first"), last.alias("last")).where("first OR last")
+    ends = scan(edges, keys, order, lags=("seg_start", "value"), tile=tile).where("last")
+    own = lambda c: F.when(F.col("first"), F.col(c)).otherwise(F.col(f"{c}_lag")).alias(c)
+    return ends.select(*keys, own("seg_start"), "seg_end", own("value"))
 
 
-def coalesce_near(segments: DataFrame, keys: list[str], tile: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def coalesce_near(segments: DataFrame, keys: list[str], tile: int | None = None, order: str = "seg_start", tolerance: float = TOLERANCE) -> DataFrame:
     """As ``coalesce_exact``, and runs within ``tolerance`` of the *first* value of their group join it.
 
     Members of a group are each within the tolerance of its anchor, so neighbours within twice that form islands
     that groups cannot leave; only islands of several values are folded.
     """
-    exact = coalesce_exact(segments, keys, tile)
+    exact = coalesce_exact(segments, keys, tile, order)
     seen = scan(exact, keys, "seg_start", lags=("value",), leads=("value",), tile=tile)
 
     def near(other: str) -> Column:

@@ -85,7 +85,7 @@ def covs(spark: SparkSession, d: str) -> SegmentFrame:
 
 
 def suppliers(spark: SparkSession, d: str, where: str = "TRUE") -> SegmentFrame:
-    return SegmentFrame.coverage(line_intervals(spark, d, by_supplier=True).where(where), **EXACT)
+    return SegmentFrame.coverage(line_intervals(spark, d, by_supplier=True).where(where), repeats=False, **EXACT)
 
 
 # ---- sources -------------------------------------------------------------------------------------------------------------

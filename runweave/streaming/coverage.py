@@ -20,4 +20,4 @@ def from_deltas(state: DataFrame, **how) -> SegmentFrame:
     """The vectors that a (batch read of a) table of deltas stands for."""
     keys = [k for k in ("chromosome", "strand") if k in state.columns]
     steps = scan(state, keys, "pos", sums=("d",), lags=("pos",)).select(*keys, F.coalesce("pos_lag", F.lit(0)).alias("seg_start"), F.col("pos").alias("seg_end"), F.col("d_sum").alias("value"))
-    return SegmentFrame(steps.where("seg_end > seg_start"), **how).coalesce()
+    return SegmentFrame(steps.where("seg_end > seg_start"), **how).coalesce("seg_end")

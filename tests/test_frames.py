@@ -348,3 +348,17 @@ def test_lookup_in_a_selected_key_is_binned_and_asks_only_its_queries(spark):
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert "bin#" in next(line for line in plan.splitlines() if "Join Inner" in line)
     assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in every.where("chromosome = 'chr2'").collect())
+
+
+ODD_INTERVALS = [("a", 5, 9), ("a", 5, 9), ("a", 0, 5), ("a", 12, 12), ("b", 0, 2), ("b", 2, 4), ("z", 0, 0), (None, 1, 2), ("c", 2**33, 2**33 + 5), ("d", 3, 3)]
+
+
+def test_coverage_of_many_keys_sorts_once(spark):
+    df = spark.createDataFrame(ODD_INTERVALS, "chromosome string, start long, end long")
+    for mode in ("exact", "near"):
+        assert vectors(SegmentFrame.coverage(df, mode=mode, repeats=False)) == vectors(SegmentFrame.coverage(df, mode=mode))
+    rows, many = intervals(spark, seed=8)
+    assert vectors(SegmentFrame.coverage(many, stranded=True, value_col="score", mode="exact", repeats=False)) == vectors(SegmentFrame.coverage(many, stranded=True, value_col="score", mode="exact"))
+    for repeats, exchanges in ((True, 2), (False, 1)):
+        plan = SegmentFrame.coverage(many, mode="exact", repeats=repeats).df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("Sort [") == 1 and ("HashAggregate" in plan) == repeats
