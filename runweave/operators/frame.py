@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import INF, NAN, UNARY, divide, finite, indicator, natural_key
 from ..plans.scan import number, scan
-from ..plans.segments import SEGMENT, coalesce_exact, coalesce_near, coverage, sweep
+from ..plans.segments import SEGMENT, coalesce_exact, coalesce_near, coverage, covered_keys, sweep
 
 Number = int | float
 SCHEMA = "seg_start long, seg_end long, value double"
@@ -21,18 +21,19 @@ class SegmentFrame:
 
     ``mode``: how results are coalesced, ``near`` (runs within 1e-5 of a group's first value) or ``exact``. ``tile``: None for one
     window per key, or a width of positions by which long keys are spread over tasks.
+    ``names``: the frame's keys, repeats and all, where a shorter plan than ``df`` gives them.
     Where a key has no segments it has no rows: it does not exist.
     """
 
     __hash__ = None  # type: ignore[assignment]
 
-    def __init__(self, df: DataFrame, mode: str = "near", tile: int | None = None):
+    def __init__(self, df: DataFrame, mode: str = "near", tile: int | None = None, names: DataFrame | None = None):
         if mode not in ("near", "exact"):
             raise ValueError(f"unknown mode {mode!r}")
         self.mode, self.tile = mode, tile
         self.stranded = "strand" in df.columns
         self.keys = ["chromosome", "strand"] if self.stranded else ["chromosome"]
-        self.df = df.select(*self.keys, *SEGMENT)
+        self.df, self._names = df.select(*self.keys, *SEGMENT), names
 
     # ---- construction -------------------------------------------------------------------------------------------
 
@@ -68,7 +69,7 @@ class SegmentFrame:
         if isinstance(intervals, str):
             intervals = (spark or SparkSession.active()).table(intervals)
         keys = ["chromosome", "strand"] if stranded else ["chromosome"]
-        return cls(coverage(intervals, keys, F.col(value_col) if value_col else None, how.get("tile"), repeats), **how).coalesce("seg_end")
+        return cls(coverage(intervals, keys, F.col(value_col) if value_col else None, how.get("tile"), repeats), names=covered_keys(intervals, keys), **how).coalesce("seg_end")
 
     @classmethod
     def from_dict(cls, vectors: dict, **how) -> SegmentFrame:
@@ -81,19 +82,23 @@ class SegmentFrame:
             out = out.unionByName(p)
         return cls(out, **how)
 
-    def _new(self, df: DataFrame) -> SegmentFrame:
-        return SegmentFrame(df, self.mode, self.tile)
+    def _new(self, df: DataFrame, names: DataFrame | None = None) -> SegmentFrame:
+        return SegmentFrame(df, self.mode, self.tile, names)
+
+    def _key_rows(self) -> DataFrame:
+        """Each key once."""
+        return (self.df if self._names is None else self._names).select(*self.keys).distinct()
 
     def _valued(self, value: Column) -> SegmentFrame:
-        return self._new(self.df.withColumn("value", value))
+        return self._new(self.df.withColumn("value", value), self._names)
 
     def coalesce(self, order: str = "seg_start") -> SegmentFrame:
         """Neighbouring equal (or near) runs as one. ``order``: ``seg_end`` where the rows are sorted by that already."""
         merge = coalesce_exact if self.mode == "exact" else coalesce_near
-        return self._new(merge(self.df, self.keys, self.tile, order))
+        return self._new(merge(self.df, self.keys, self.tile, order), self._names)
 
     def copy(self) -> SegmentFrame:
-        return self._new(self.df)
+        return self._new(self.df, self._names)
 
     def with_key(self, other: SegmentFrame) -> SegmentFrame:
         """These vectors, with those of ``other`` in place of or beside the ones of the same key."""
@@ -250,8 +255,9 @@ class SegmentFrame:
     def select_keys(self, chromosome: str | None = None, strand: str | None = None) -> SegmentFrame:
         if strand is not None and not self.stranded:
             raise KeyError("these vectors have no strands")
-        df = self.df if chromosome is None else self.df.where(F.col("chromosome") == chromosome)
-        return self._new(df if strand is None else df.where(F.col("strand") == strand))
+        own = F.lit(True) if chromosome is None else F.col("chromosome") == chromosome
+        own = own if strand is None else own & (F.col("strand") == strand)
+        return self._new(self.df.where(own), None if self._names is None else self._names.where(own))
 
     def __getitem__(self, key):
         """A position, positions, a slice, a frame of intervals, a strand, a chromosome, or both."""
@@ -371,14 +377,14 @@ class SegmentFrame:
         return self._sums().select(*self.keys, F.round(F.col("length") / F.col("runs"), 3).alias("average_run"))
 
     def key_count(self) -> DataFrame:
-        return self.df.select(*self.keys).distinct().agg(F.count("*").alias("keys"))
+        return self._key_rows().agg(F.count("*").alias("keys"))
 
     def keys_in_order(self) -> DataFrame:
         """The keys in natural order (chr2 before chr10)."""
-        return self.df.select(*self.keys).distinct().orderBy(natural_key(F.col("chromosome")), *self.keys)
+        return self._key_rows().orderBy(natural_key(F.col("chromosome")), *self.keys)
 
     def chromosomes(self) -> DataFrame:
-        return self.df.select("chromosome").distinct().orderBy(natural_key(F.col("chromosome")), "chromosome")
+        return self._key_rows().select("chromosome").distinct().orderBy(natural_key(F.col("chromosome")), "chromosome")
 
     def key_sets(self, other: SegmentFrame) -> DataFrame:
         """Every key of either side with ``place``: both, left or right."""

@@ -28,6 +28,11 @@ def _start() -> Column:
     return F.when(bad, F.raise_error(F.lit("intervals need 0 <= start <= end")).cast("long")).otherwise(F.col("start").cast("long"))
 
 
+def covered_keys(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that ``coverage`` has segments of, with repeats: those with an end past 0."""
+    return _named(intervals, keys).where((_start() >= 0) & (F.col("end").cast("long") > 0)).select(*keys)
+
+
 def coverage(intervals: DataFrame, keys: list[str], weight: Column | None = None, tile: int | None = None, repeats: bool = True) -> DataFrame:
     """Segments of the summed weights of ``intervals`` (keys, start, end): one pass of +w and -w events, in the order of ``seg_end``, uncoalesced.
 

@@ -362,3 +362,14 @@ def test_coverage_of_many_keys_sorts_once(spark):
     for repeats, exchanges in ((True, 2), (False, 1)):
         plan = SegmentFrame.coverage(many, mode="exact", repeats=repeats).df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("Sort [") == 1 and ("HashAggregate" in plan) == repeats
+
+
+def test_keys_of_a_coverage_need_no_segments(spark):
+    df = spark.createDataFrame(ODD_INTERVALS, "chromosome string, start long, end long")
+    frame = SegmentFrame.coverage(df)
+    assert [r[0] for r in frame.chromosomes().collect()] == sorted({r["chromosome"] for r in frame.df.collect()}) == ["a", "b", "c", "d"]
+    assert frame["b"].key_count().first()["keys"] == 1 and [k for k, _ in frame * 2] == ["a", "b", "c", "d"]
+    for keys in (frame.chromosomes(), frame.keys_in_order(), frame.key_count()):
+        assert "Window" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="0 <= start <= end"):
+        SegmentFrame.coverage(spark.createDataFrame([("a", 5, 2)], "chromosome string, start long, end long")).chromosomes().collect()
