@@ -388,7 +388,7 @@ class SegmentFrame:
 
     def key_sets(self, other: SegmentFrame) -> DataFrame:
         """Every key of either side with ``place``: both, left or right."""
-        mine, theirs = (f.df.select(*self.keys).distinct().withColumn(n, F.lit(True)) for f, n in ((self, "l"), (other, "r")))
+        mine, theirs = (f._key_rows().withColumn(n, F.lit(True)) for f, n in ((self, "l"), (other, "r")))
         place = F.when(F.col("l") & F.col("r"), "both").when(F.col("l"), "left").otherwise("right")
         return mine.join(theirs, self.keys, "full_outer").select(*self.keys, place.alias("place"))
 

@@ -373,3 +373,10 @@ def test_keys_of_a_coverage_need_no_segments(spark):
         assert "Window" not in keys._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(Exception, match="0 <= start <= end"):
         SegmentFrame.coverage(spark.createDataFrame([("a", 5, 2)], "chromosome string, start long, end long")).chromosomes().collect()
+
+
+def test_key_sets_of_coverages_need_no_segments(spark):
+    df = spark.createDataFrame(ODD_INTERVALS, "chromosome string, start long, end long")
+    sets = SegmentFrame.coverage(df.where("chromosome < 'c' OR chromosome = 'z'")).key_sets(SegmentFrame.coverage(df.where("chromosome > 'a'")))
+    assert {r["chromosome"]: r["place"] for r in sets.collect()} == {"a": "left", "b": "both", "c": "right", "d": "right"}
+    assert "Window" not in sets._jdf.queryExecution().optimizedPlan().toString()
