@@ -53,9 +53,24 @@ def coverage(intervals: DataFrame, keys: list[str], weight: Column | None = None
     return steps.where("seg_end > seg_start")
 
 
+def _starts(side: DataFrame, keys: list[str], name: str, pad: float) -> DataFrame:
+    """What holds from each position on, in column ``name`` (``x`` or ``y``): the runs' starts, and each key's end, where ``pad`` begins."""
+    seen = scan(side, keys, "seg_end", leads=("seg_end",))
+    start = F.struct(F.col("seg_start").alias("pos"), F.lit(True).alias("starts"), F.coalesce("value", F.lit(float(pad))).alias("v"))
+    end = F.struct(F.col("seg_end").alias("pos"), F.lit(False).alias("starts"), F.lit(float(pad)).alias("v"))
+    each = F.explode(F.array_compact(F.array(start, F.when(F.col("seg_end_lead").isNull(), end)))).alias("e")
+    values = [(F.col("e.v") if n == name else F.lit(None).cast("double")).alias(n) for n in ("x", "y")]
+    return seen.select(*keys, each).select(*keys, "e.pos", "e.starts", *values)
+
+
 def sweep(x: DataFrame, y: DataFrame, keys: list[str], expr: Callable[[Column, Column], Column], pad: float = 0.0, tile: int | None = None) -> DataFrame:
     """Segments of ``expr(x, y)`` over both sides' breakpoints, full outer on keys; a side is ``pad`` where it has ended. Uncoalesced."""
 
+    if not tile:
+        filled = scan(_starts(x, keys, "x", pad).unionByName(_starts(y, keys, "y", pad)), keys, ["pos", "starts"], fills=("x", "y"), leads=("pos",)).where("pos_lead > pos")
+        values = expr(F.coalesce("x_fill", F.lit(float(pad))), F.coalesce("y_fill", F.lit(float(pad))))
+        return filled.select(*keys, F.col("pos").alias("seg_start"), F.col("pos_lead").alias("seg_end"), values.alias("value"))
+
     def events(side: DataFrame, name: str) -> DataFrame:
         each = F.array(*[F.struct(F.col(p).alias("pos"), v.alias("v"), F.lit(s).alias("starts")) for p, v, s in (("seg_start", F.col("value"), True), ("seg_end", F.lit(float(pad)), False))])
         return side.select(*keys, F.lit(name).alias("side"), F.explode(each).alias("e")).select(*keys, "side", "e.*")

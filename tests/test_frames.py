@@ -380,3 +380,12 @@ def test_key_sets_of_coverages_need_no_segments(spark):
     sets = SegmentFrame.coverage(df.where("chromosome < 'c' OR chromosome = 'z'")).key_sets(SegmentFrame.coverage(df.where("chromosome > 'a'")))
     assert {r["chromosome"]: r["place"] for r in sets.collect()} == {"a": "left", "b": "both", "c": "right", "d": "right"}
     assert "Window" not in sets._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sum_of_many_keys_aggregates_nothing(spark):
+    (_, a), (_, b) = intervals(spark, seed=10), intervals(spark, seed=11, keys=("chr2", "chr10", "chr3"))
+    x, y = (SegmentFrame.coverage(df, mode="exact", repeats=False) for df in (a, b))
+    both = x + y
+    plan = both.df._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 3
+    assert vectors(both) == vectors(SegmentFrame.coverage(a.unionByName(b), mode="exact"))
