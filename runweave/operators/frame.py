@@ -236,18 +236,17 @@ class SegmentFrame:
         asked = intervals.select(*self.keys, F.when(bad, F.raise_error(F.lit("intervals need 0 <= start <= end")).cast("long")).otherwise(F.col("start").cast("long")).alias("Start"), F.col("end").cast("long").alias("End"), *([F.col("ordinal")] if "ordinal" in intervals.columns else [F.monotonically_increasing_id().alias("ordinal")]))
         s, e, a, b, top = (F.col(c) for c in ("Start", "End", "seg_start", "seg_end", "_top"))
         runs = self.df.agg(F.coalesce(F.max(b), F.lit(0)).alias("_top"), F.avg(b - a).alias("_run"))
-        facts = asked.crossJoin(F.broadcast(runs)).agg(F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"), F.max("_top").alias("_top"), F.max("_run").alias("_run"), F.avg(F.greatest(F.least(e, top) - s, F.lit(0))).alias("_asked"))
+        facts = asked.crossJoin(F.broadcast(runs)).agg(F.max("_top").alias("_top"), F.max("_run").alias("_run"), F.avg(F.greatest(F.least(e, top) - s, F.lit(0))).alias("_asked"))
         width = F.lit(bin_width) if bin_width else F.ceil(F.greatest(F.col("_run") * 16, "_asked", top / 2**20, F.lit(1.0)))
-        facts = F.broadcast(facts.select("_lo", "_hi", F.coalesce(top, F.lit(0)).alias("_top"), F.coalesce(width.cast("long"), F.lit(1)).alias("_width")))
-        asked = asked.crossJoin(facts)
+        facts = F.broadcast(facts.select(F.coalesce(top, F.lit(0)).alias("_top"), F.coalesce(width.cast("long"), F.lit(1)).alias("_width")))
         if "ordinal" in intervals.columns and intervals.schema["ordinal"].dataType.typeName() in ("byte", "short", "integer", "long"):
             asked = number(asked, self.keys, "ordinal", "ID")
         else:
             asked = scan(asked.withColumn("one", F.lit(1.0)), self.keys, "ordinal", sums=("one",)).withColumn("ID", F.col("one_sum").cast("long"))
         bin_of = lambda pos: F.call_function("div", pos, F.col("_width"))
         bins = lambda lo, hi: F.explode(F.sequence(bin_of(lo), bin_of(F.greatest(hi - 1, lo)))).alias("bin")
-        asked = asked.select(*self.keys, "Start", "End", "ID", "_width", bins(s, F.least(e, top)))
-        dealt = self.df.crossJoin(facts.select("_width")).select(*self.keys, *SEGMENT, bins(a, b))
+        asked = asked.crossJoin(facts).select(*self.keys, "Start", "End", "ID", "_width", bins(s, F.least(e, top)))
+        dealt = self.df.crossJoin(facts).select(*self.keys, *SEGMENT, bins(a, b))
         met = asked.join(dealt, [*self.keys, "bin"]).where(((s < e) & (a < e) & (s < b)) | ((s == e) & (a <= s) & (s < b)))
         met = met.where(F.col("bin") == bin_of(F.greatest(s, a)))
         return met.select("chromosome", "Start", "End", "ID", (F.least(e, b) - F.greatest(s, a)).alias("Run"), F.col("value").alias("Value"), *self.keys[1:])

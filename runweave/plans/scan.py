@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Into so many tiles ``number`` cuts the span of the ordinals.
-NUMBER_TILES = 4096
+#: ``number`` cuts the ordinals into 2 ** so many tiles.
+NUMBER_BITS = 10
 
 
 def scan(df: DataFrame, keys: list[str], pos: str | list[str], sums: tuple[str, ...] = (), fills: tuple[str, ...] = (), lags: tuple[str, ...] = (), leads: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
@@ -49,11 +49,16 @@ def scan(df: DataFrame, keys: list[str], pos: str | list[str], sums: tuple[str,
 def number(df: DataFrame, keys: list[str], ordinal: str, name: str) -> DataFrame:
     """``df`` with ``name``: each row's place, from 0, among its key's rows in the order of ``ordinal``, a column of whole numbers.
 
-    ``df`` also has ``_lo`` and ``_hi``, the least and greatest ordinal of all. Their span is cut into tiles; rows are numbered
-    within (key, tile), and the rows of a key's earlier tiles are added. So a key lies in one task only if its ordinals crowd in one tile.
+    All rows are numbered within (key, tile), and the rows of a key's earlier tiles are added. The tiles' borders are the ordinals of
+    least hash, so they lie where the ordinals do, however unevenly, and are the same each time that they are made: a tile holds more than
+    about a hundredth of all rows only if their ordinals are equal.
     """
-    lo, hi, o = (F.col(c).cast("double") for c in ("_lo", "_hi", ordinal))
-    dealt = df.withColumn("_tile", F.coalesce(F.floor((o - lo) / ((hi - lo) / NUMBER_TILES + 1)), F.lit(-1)))
+    o = F.col(ordinal)
+    drawn = df.select(o.alias("_cut"), F.xxhash64(o).alias("_hash")).where("_cut IS NOT NULL").orderBy("_hash", "_cut").limit(2**NUMBER_BITS - 1)
+    dealt = df.crossJoin(F.broadcast(drawn.agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")))).withColumn("_tile", F.lit(0))
+    for bit in reversed(range(NUMBER_BITS)):  # how many borders are at or below the ordinal, by halving
+        dealt = dealt.withColumn("_tile", F.col("_tile") + F.when(F.get("_cuts", F.col("_tile") + (2**bit - 1)) <= o, 2**bit).otherwise(0))
+    dealt = dealt.drop("_cuts")
     earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     tiles = dealt.groupBy(*keys, "_tile").agg(F.count("*").alias("_n")).select(*keys, "_tile", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_tile").orderBy(ordinal)))

@@ -389,3 +389,21 @@ def test_sum_of_many_keys_aggregates_nothing(spark):
     plan = both.df._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Sort [") == 3
     assert vectors(both) == vectors(SegmentFrame.coverage(a.unionByName(b), mode="exact"))
+
+
+def test_numbering_spreads_ordinals_that_crowd_far_from_a_few_others(spark):
+    from runweave.plans.scan import number
+
+    ordinals = [*range(5000), *(10**12 + 5 * i for i in range(5000)), 2**61, -(2**60)]
+    cells = [(("a", "b")[i % 7 == 0], o, min(ordinals), max(ordinals)) for i, o in enumerate(np.random.default_rng(9).permutation(np.array(ordinals)).tolist())]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = number(spark.createDataFrame(cells, "k string, o long, _lo long, _hi long"), ["k"], "o", "n")
+        rows = placed.select("k", "o", "n", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want = [(k, o, i) for k in "ab" for i, o in enumerate(sorted(o for key, o, *_ in cells if key == k))]
+    assert sorted((r["k"], r["o"], r["n"]) for r in rows) == want
+    tasks = [r["task"] for r in rows]
+    assert len(set(tasks)) == 4 and max(tasks.count(t) for t in set(tasks)) < 0.4 * len(rows)
